@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import near_duplicates
+from groundline.llm import encode, mix, near_duplicates
 from groundline.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,21 @@ m AS (SELECT id, k FROM n JOIN d USING (t)),
 r AS (SELECT x.id AS i, y.id AS j FROM p JOIN m x ON x.k = a JOIN m y ON y.k = b UNION ALL SELECT x.id, y.id FROM m x JOIN m y ON x.k = y.k AND x.id < y.id)"""
 
 SQL["p3_found"] = _PAIRS + " SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM r"
+
+
+@query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each occurs in it."""
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
