@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import encode, mix, near_duplicates
+from groundline.llm import encode, lookalikes, mix, near_duplicates
 from groundline.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,24 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages whose texts differ but look the same."""
+    return lookalikes.look_alike_pairs(table(spark, sf_dir, "page_docs"), "pd_id")
+
+
+SQL["p1_found"] = lookalikes.look_alike_sql("page_docs", "pd_id")
+
+
+@query
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page text in its one consistent form."""
+    return lookalikes.consistent(table(spark, sf_dir, "page_docs"), "pd_id").select("pd_id", "form")
+
+
+SQL["p1_forms"] = f"SELECT pd_id, {lookalikes.form_sql()} AS form FROM (SELECT pd_id, {lookalikes.skeleton_sql()} AS skeleton FROM page_docs)"
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks that share at least half of their sequences of eight characters."""
