@@ -107,7 +107,7 @@ def consistent(df: DataFrame, id_col: str, text_col: str = "text", readable: boo
         for batch in batches:
             part = pa.Table.from_batches([batch]).rename_columns(["id", "text"])
             con.register("part", part)
-            out = con.execute(sql).to_arrow_table()
+            out = con.sql(sql).to_arrow_table()
             con.unregister("part")
             yield from out.rename_columns(names).cast(pa.schema([(names[0], batch.schema.field(0).type), *((n, pa.string()) for n in names[1:])])).to_batches()
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundline.llm import encode, lookalikes, mix, near_duplicates
+from groundline.llm import encode, lookalikes, mix, near_duplicates, site_lines
 from groundline.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,26 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["p1_forms"] = f"SELECT pd_id, {lookalikes.form_sql()} AS form FROM (SELECT pd_id, {lookalikes.skeleton_sql()} AS skeleton FROM page_docs)"
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a large part of a site's pages have."""
+    return site_lines.repeated_lines(table(spark, sf_dir, "page_docs"), "pd_id", "text", F.col("metadata")["source_url"])
+
+
+SQL["p2_found"] = site_lines.site_lines_sql("page_docs", "pd_id", "text", "metadata['source_url']")
+
+
+@query
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page text without those lines."""
+    pages = table(spark, sf_dir, "page_docs")
+    return site_lines.without_repeated_lines(pages, "pd_id", "text", F.col("metadata")["source_url"]).select("pd_id", "text", "n_removed")
+
+
+SQL["p2_texts"] = f"""WITH gone AS ({SQL['p2_found']}), g AS (SELECT pd_id, count(*) AS n, list(line_no) AS gone FROM gone GROUP BY pd_id)
+SELECT pd_id, CASE WHEN g.n IS NULL THEN text ELSE array_to_string([x FOR x, i IN str_split(text, chr(10)) IF NOT list_contains(g.gone, i - 1)], chr(10)) END AS text, CAST(coalesce(g.n, 0) AS INTEGER) AS n_removed FROM page_docs LEFT JOIN g USING (pd_id)"""
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks that share at least half of their sequences of eight characters."""
