@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import encode, lookalikes, mix, near_duplicates, site_lines
+from groundline.llm import encode, lookalikes, main_body, mix, near_duplicates, site_lines
 from groundline.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,16 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source."""
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages that are not main body."""
+    lines = main_body.labelled_lines(table(spark, sf_dir, "page_docs"), table(spark, sf_dir, "line_labels"))
+    return lines.where("NOT is_main").select("pd_id", "line_no")
+
+
+@query
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every page."""
+    return main_body.main_bodies(table(spark, sf_dir, "page_docs"), table(spark, sf_dir, "line_labels"))
