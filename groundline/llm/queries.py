@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import encode, lookalikes, main_body, mix, near_duplicates, site_lines
+from groundline.llm import encode, lookalikes, main_body, mix, near_duplicates, sentences, site_lines
 from groundline.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,14 @@ r AS (SELECT x.id AS i, y.id AS j FROM p JOIN m x ON x.k = a JOIN m y ON y.k = b
 SQL["p3_found"] = _PAIRS + " SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM r"
 
 
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of the sentence units of chunks and answers."""
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("rec_table"), F.col("id").alias("rec_id"), "text")
+    answers = table(spark, sf_dir, "answers").select(F.lit("answers").alias("rec_table"), F.col("answer_id").cast("string").alias("rec_id"), "text")
+    return sentences.sentence_units(chunks.unionByName(answers))
+
+
 @query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
