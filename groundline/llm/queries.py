@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import encode, lookalikes, main_body, mix, near_duplicates, sentences, site_lines
+from groundline.llm import encode, lookalikes, main_body, mix, near_duplicates, sentences, site_lines, truncation
 from groundline.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of every page."""
     return main_body.main_bodies(table(spark, sf_dir, "page_docs"), table(spark, sf_dir, "line_labels"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lost their end."""
+    return truncation.lost_ends(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source's documents lost their end."""
+    return truncation.loss_rates(table(spark, sf_dir, "documents"))
