@@ -219,7 +219,7 @@ def learned(texts: DataFrame) -> Told:
     rows = counted(words, WORD_SHARE)
     vocabulary = trie([key for kind, key, *_ in rows if kind == 0], letters)
     never_last = frozenset(key for kind, key, n, ends in rows if kind == 1 and n >= 20 and ends < 0.002 * n)
-    endings = {key: ends >= 2 and ends >= 0.03 * n for kind, key, n, ends in rows if kind == 2}
+    endings = {key: n < 30 or ends >= 0.03 * n for kind, key, n, ends in rows if kind == 2}
     told = sc.broadcast(vocabulary)
 
     def forms(text: str, n: Counter, ends: Counter) -> None:
