@@ -1,0 +1,137 @@
+"""From documents to chunks: blocks, packing, and the greedy chunker of whole documents."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from groundline.functions.text import SENTENCE_GAP, pack, strip
+from groundline.runtime import spread
+
+SIZE, LEAST, OVERLAP = 512, 400, 80
+
+
+def cap(entity: Column, section: Column) -> Column:
+    """Characters left for the body once the line "entity | section" is counted."""
+    return F.greatest(F.lit(120), F.lit(SIZE) - F.length(F.concat_ws(" | ", entity, section)) - 1)
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, block_no, is_table and body: runs of table rows or of other lines, parted by blank lines (gaps and islands)."""
+    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    w = W.partitionBy(id_col).orderBy("line_no")
+    x = lines.withColumn("is_table", F.col("line").contains(" | ")).withColumn("blank", strip("line") == "")
+    fresh = F.col("blank") | (F.col("is_table") != F.lag("is_table").over(w)) | F.lag("blank").over(w) | F.lag("line_no").over(w).isNull()
+    x = x.withColumn("block", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w)).where("NOT blank")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda l: l["line"]), "\n")
+    y = x.groupBy(id_col, "block").agg(F.bool_or("is_table").alias("is_table"), body.alias("body"))
+    return y.select(id_col, (F.row_number().over(W.partitionBy(id_col).orderBy("block")) - 1).alias("block_no"), "is_table", "body")
+
+
+def wrapped(text: Column, most: int) -> Column:
+    """Words packed into lines of at most ``most`` characters."""
+    return pack(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != ""), most, " ")
+
+
+class Packer:
+    """The chunks of one document: whole blocks while they fit, a cut at a heading once a chunk is large enough."""
+
+    def __init__(self, entity: str, size: int = SIZE, least: int = LEAST, overlap: int = OVERLAP) -> None:
+        import regex
+
+        self.gap = regex.compile(SENTENCE_GAP)
+        self.heading = regex.compile(r"^#{1,6}\s+(\S.*?)\s*$")
+        self.entity, self.size, self.least, self.overlap = entity or "general", size, least, overlap
+
+    def room(self, section: str) -> int:
+        return max(120, self.size - len(self.entity) - len(section) - 4)
+
+    def greedy(self, parts: list[str], most: int, glue: str) -> list[str]:
+        out: list[str] = []
+        for p in parts:
+            if out and len(out[-1]) + len(glue) + len(p) <= most:
+                out[-1] += glue + p
+            else:
+                out.append(p)
+        return out
+
+    def pieces(self, block: str, is_table: bool, most: int) -> list[str]:
+        if len(block) <= most:
+            return [block]
+        if is_table:
+            return self.greedy([r for r in block.split("\n") if r.strip()], most, "\n")
+        small = [w for s in self.gap.split(block) if s.strip() for w in ([s.strip()] if len(s.strip()) <= most else self.greedy(s.split(), most, " "))]
+        return self.greedy(small, most, " ")
+
+    def units(self, text: str) -> Iterator[tuple[str, str]]:
+        """(section, piece) in order."""
+        section, run, table = "overview", [], False
+
+        def flush() -> Iterator[tuple[str, str]]:
+            if run:
+                yield from ((section, p) for p in self.pieces("\n".join(run), table, self.room(section)))
+                run.clear()
+
+        for line in text.split("\n"):
+            h = self.heading.match(line)
+            is_table = " | " in line
+            if h or not line.strip() or is_table != table:
+                yield from flush()
+                table = is_table
+            if h:
+                section = h.group(1)
+            elif line.strip():
+                run.append(line.rstrip())
+        yield from flush()
+
+    def tail(self, body: str) -> str:
+        if len(body) <= self.overlap:
+            return ""
+        window = body[-self.overlap :]
+        parts = [p for p in self.gap.split(window)[1:] if p.strip()]
+        return (parts[-1] if parts else window.split(None, 1)[-1]).strip()
+
+    def chunks(self, text: str) -> list[tuple[str, str]]:
+        """(section, text) of each chunk."""
+        groups: list[list[tuple[str, str]]] = []
+        for section, piece in self.units(text):
+            now = groups[-1] if groups else None
+            if now:
+                length = len(self.body(now))
+                full = len(self.body([*now, (section, piece)])) > self.room(now[0][0])
+                if not full and not (section != now[0][0] and length >= self.least):
+                    now.append((section, piece))
+                    continue
+            begin = self.tail(self.body(now)) if now else ""
+            fresh = [(section, begin)] if begin and len(begin) + len(piece) + 2 <= self.room(section) else []
+            groups.append([*fresh, (section, piece)])
+        return [(g[0][0], f"{self.entity} | {g[0][0]}\n{self.body(g)}") for g in groups]
+
+    def body(self, group: list[tuple[str, str]]) -> str:
+        out, last = [], group[0][0]
+        for section, piece in group:
+            if section != last:
+                out.append(f"## {section}")
+                last = section
+            out.append(piece)
+        return "\n\n".join(out)
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, entity_col: str) -> DataFrame:
+    """id_col, chunk_index, chunk_count, section and text of every chunk; the document is the unit of work, documents are spread over the tasks."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc, text, entity in zip(f[id_col], f[text_col], f[entity_col], strict=True):
+                own = Packer(entity).chunks(text)
+                rows += [(doc, i, len(own), section, body) for i, (section, body) in enumerate(own)]
+            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "chunk_count", "section", "text"])
+
+    whole = docs.where(F.col(text_col).isNotNull() & (strip(text_col) != "")).select(id_col, text_col, entity_col)
+    return spread(whole).mapInPandas(run, f"{id_col} {kind}, chunk_index int, chunk_count int, section string, text string")
