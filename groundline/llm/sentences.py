@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from groundline.runtime import spread
 
-#: Texts the model is trained on: those with the smallest hash of their id.
+#: Texts the model is trained on, about: those whose hash of the id is below a threshold.
 TRAIN_TEXTS = 6_000
 WORD_SHARE, MIN_SEEN = 1 / 20_000, 8
 
@@ -355,7 +355,9 @@ def sentence_units(records: DataFrame) -> DataFrame:
     """rec_table, rec_id and end_pos of every unit of ``records`` (rec_table, rec_id, text)."""
     texts = records.where("text IS NOT NULL").select("text")
     words = counted_words(texts)
-    sample = records.where("text IS NOT NULL").select(F.xxhash64("rec_table", "rec_id").alias("h"), "text").orderBy("h", "text").limit(TRAIN_TEXTS).collect()
+    share = min(1.0, TRAIN_TEXTS / max(1, texts.count()))
+    chosen = F.shiftrightunsigned(F.xxhash64("rec_table", "rec_id"), 33) < int(share * 2**31)
+    sample = records.where("text IS NOT NULL").where(chosen).select("text").limit(2 * TRAIN_TEXTS).collect()
     told = records.sparkSession.sparkContext.broadcast(train([r.text for r in sample], words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
