@@ -9,7 +9,9 @@ Nobody labelled the texts; the model is trained on what they show themselves:
 * the ends of lines are sure boundaries. For training, line ends are stripped: neighbouring lines are put together,
   so a line end looks like any other place between sentences. In scripts without closing marks, blanks and line ends are stripped and the places where
   they stood are to be found again among all places between two letters;
-* a mark before a small letter, inside a quotation after which the sentence goes on, or after a word that never ends a line is surely inside.
+* a mark before a small letter or after a word that never ends a line is surely inside.
+
+A mark in a quotation after which the sentence goes on is inside by definition.
 
 How often each word ends a line before a mark, begins a line, and stands on either side of a mark within a line is counted over all texts; words on at least
 ``WORD_SHARE`` of all marks are handed to the tasks, at most 1 / WORD_SHARE for each side.
@@ -55,6 +57,10 @@ ABBREVIATIONS = frozenset(
 )
 
 
+#: Weights before training.
+PRIOR = {"a<True": -3.0, "k>small": -3.0, "f<initial": -2.0, "m...": -0.5}
+
+
 class Place(NamedTuple):
     """A place that may be a boundary."""
 
@@ -62,7 +68,6 @@ class Place(NamedTuple):
     mark: str
     before: str
     after: str
-    quoted: int  # 1: inside a quotation after which the sentence goes on
 
 
 class Model(NamedTuple):
@@ -105,7 +110,7 @@ def quotations(line: str) -> list[tuple[int, int, bool]]:
     for m in QUOTED.finditer(line):
         rest = line[m.end() :]
         nearest = rest.lstrip()
-        goes_on = bool(nearest) and (nearest[0] in ",;:،，、" or kind_of(nearest) in ("small", "letter", "wide") or not (line[m.end() - 2 : m.end() - 1].strip() and line[: m.end() - 1].rstrip()[-1] in ".!?。！？।…"))
+        goes_on = bool(nearest) and (nearest[0] in ",;:،，、" or kind_of(nearest.split(None, 1)[0]) in ("small", "letter", "wide") or not (line[m.end() - 2 : m.end() - 1].strip() and line[: m.end() - 1].rstrip()[-1] in ".!?。！？।…"))
         out.append((m.start(), m.end(), goes_on))
     return out
 
@@ -127,7 +132,7 @@ def places(line: str) -> list[Place]:
             if rows is None:
                 rows = bool(ROW.search(line))
             if not rows:
-                out.append(Place(start, "_", line[max(0, start - 4) : start], line[end : end + 4], 0))
+                out.append(Place(start, "_", line[max(0, start - 4) : start], line[end : end + 4]))
             continue
         if mark[0] == "." and start and "฀" <= line[start - 1] <= "๿":
             continue  # Thai sentences have no full stop; it ends abbreviations
@@ -136,9 +141,9 @@ def places(line: str) -> list[Place]:
         rest = line[end : end + 40].split(None, 1)
         if spans is None:
             spans = quotations(line) if QUOTED.search(line) else []
-        # a mark in a quotation, its last mark with the quote after it included
-        quoted = next((1 for a, b, on in spans if a < start < b and on), 0)
-        out.append(Place(end, mark, before, rest[0] if rest else "", quoted))
+        # in a quotation after which the sentence goes on, its last mark included, nothing ends
+        if not any(a < start < b and on for a, b, on in spans):
+            out.append(Place(end, mark, before, rest[0] if rest else ""))
     return out
 
 
@@ -172,7 +177,7 @@ def joint_features(p: Place, words: dict[str, tuple[int, int]]) -> list[str]:
     a = w.strip("(") in ABBREVIATIONS
     digits = len(w) if w.strip("0") == "" else -1
     small_number = p.before.strip("(").isdigit() and len(p.before.strip("(")) <= 2
-    return [f"m{s}", f"mk{s}{k}", f"q{p.quoted}", f"ak{a}{k}", f"rk{rate(words.get(w))}{k}", f"dk{digits >= 0}{small_number}{k}{rate(words.get(' ' + plain(p.after, False)))}", f"mrk{s}{rate(words.get(w))}{rate(words.get(' ' + plain(p.after, False)))}"]
+    return [f"m{s}", f"mk{s}{k}", f"ak{a}{k}", f"rk{rate(words.get(w))}{k}", f"dk{digits >= 0}{small_number}{k}{rate(words.get(' ' + plain(p.after, False)))}", f"mrk{s}{rate(words.get(w))}{rate(words.get(' ' + plain(p.after, False)))}"]
 
 
 def features(p: Place, words: dict[str, tuple[int, int]]) -> list[str]:
@@ -181,8 +186,6 @@ def features(p: Place, words: dict[str, tuple[int, int]]) -> list[str]:
 
 def sure(p: Place, words: dict[str, tuple[int, int]]) -> bool | None:
     """Whether a place within a line is surely a boundary (True), surely not (False), or neither (None)."""
-    if p.quoted:
-        return False
     k = kind_of(p.after)
     w = plain(p.before, True)
     if p.mark == "_":
@@ -213,7 +216,7 @@ def examples(texts: list[str], words: dict[str, tuple[int, int]]) -> Iterator[li
             chain = [(p, sure(p, words)) for p in places(one)]
             if two:
                 both = f"{one} {two}"
-                chain += [(p, True) for p in places(both) if p.end == len(one) and not p.quoted]
+                chain += [(p, True) for p in places(both) if p.end == len(one)]
             yield [(p, v) for p, v in chain if v is not None]
 
 
@@ -233,9 +236,9 @@ def train(texts: list[str], words: dict[str, tuple[int, int]], rounds: int = 60,
                 turns[int(last), int(v)] += 1
             last = v
     if not y:
-        return Model({"b": 0.0, "a<True": -6.0, "q1": -9.0, "k>small": -6.0, "a<False": 3.0}, words, ((0.0, 0.0), (0.0, 0.0)))
+        return Model(PRIOR | {"b": 1.0}, words, ((0.0, 0.0), (0.0, 0.0)))
     place, own, target = np.array(rows), np.array(owner), np.array(y, float)
-    w, b, seen, seen_b = np.zeros(len(index)), 0.0, np.full(len(index), 1e-8), 1e-8
+    w, b, seen, seen_b = np.array([PRIOR.get(x, 0.0) for x in index]), 0.0, np.full(len(index), 1e-8), 1e-8
     for _ in range(rounds):
         e = 1 / (1 + np.exp(-(np.bincount(own, w[place], minlength=len(y)) + b))) - target
         g = np.bincount(place, e[own], minlength=len(index)) / len(y) + l2 * w
@@ -246,7 +249,7 @@ def train(texts: list[str], words: dict[str, tuple[int, int]], rounds: int = 60,
     p = np.array([turns[:, 0].sum(), turns[:, 1].sum()]) / turns.sum()
     t = np.log(turns / turns.sum(1, keepdims=True)) - np.log(p)
     t = np.clip(0.3 * t, -0.5, 0.5)  # the places' own features already tell most of it
-    weights = {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4} | {"b": float(b)}
+    weights = PRIOR | {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4} | {"b": float(b)}
     return Model(weights, words, ((t[0, 0], t[0, 1]), (t[1, 0], t[1, 1])))
 
 
@@ -263,7 +266,7 @@ class Tagger:
         for key in (left, right):
             if key not in cache:
                 cache[key] = sum(get(f, 0.0) for f in side_features(key[1], key[0], words))
-        joint = (p.mark, plain(p.before, True), plain(p.after, False), kind_of(p.after), p.quoted, p.before.strip("(").isdigit() and len(p.before.strip("(")) <= 2)
+        joint = (p.mark, plain(p.before, True), plain(p.after, False), kind_of(p.after), p.before.strip("(").isdigit() and len(p.before.strip("(")) <= 2)
         if joint not in cache:
             cache[joint] = sum(get(f, 0.0) for f in joint_features(p, words))
         out = cache[left] + cache[right] + cache[joint] + get("b", 0.0)
