@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.runtime import spread
+from groundline.runtime import cut, spread
 
 #: Texts the model is trained on, about: those whose hash of the id is below a threshold.
 TRAIN_TEXTS = 6_000
@@ -342,18 +342,12 @@ def counted_words(texts: DataFrame) -> dict[str, tuple[int, int]]:
 
     counts = spread(texts).mapInArrow(run, "word string, outer long, inner long").groupBy("word").agg(F.sum("outer").alias("outer"), F.sum("inner").alias("inner"))
     # Names come once or twice; without them the sum over the words kept is still nearly the number of marks.
-    common = counts.where(F.col("outer") + F.col("inner") >= MIN_SEEN)
-    total = F.sum(F.col("outer") + F.col("inner")).over(_whole())
-    rows = common.withColumn("total", total).where((F.col("outer") + F.col("inner")) >= F.col("total") * WORD_SHARE).select("word", "outer", "inner").collect()
+    common = cut(counts.where(F.col("outer") + F.col("inner") >= MIN_SEEN))
+    total = common.agg(F.sum(F.col("outer") + F.col("inner"))).first()[0] or 0
+    rows = common.where(F.col("outer") + F.col("inner") >= total * WORD_SHARE).collect()
     return {r.word: (r.outer, r.inner) for r in rows}
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def sentence_units(records: DataFrame) -> DataFrame:
     """rec_table, rec_id and end_pos of every unit of ``records`` (rec_table, rec_id, text)."""
     texts = records.where("text IS NOT NULL").select("text")

@@ -193,10 +193,12 @@ def learned(texts: DataFrame) -> Told:
             yield out()
 
         sums = spread(texts).mapInArrow(run, "kind int, key string, n long, ends long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-        from pyspark.sql import Window as W
-
-        common = sums.where(F.col("n") >= MIN_SEEN).withColumn("all", F.sum("n").over(W.partitionBy("kind").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-        return [tuple(r) for r in common.where(F.col("n") >= F.col("all") * share).select("kind", "key", "n", "ends").collect()]
+        common = cut(sums.where(F.col("n") >= MIN_SEEN))
+        totals = {r.kind: r.total for r in common.groupBy("kind").agg(F.sum("n").alias("total")).collect()}  # one row a kind
+        enough = F.lit(False)
+        for kind, total in totals.items():
+            enough = enough | (F.col("kind") == kind) & (F.col("n") >= total * share)
+        return [tuple(r) for r in common.where(enough).select("kind", "key", "n", "ends").collect()]
 
     def words(text: str, n: Counter, ends: Counter) -> None:
         for line in whole_lines(text):
