@@ -42,7 +42,7 @@ WORD_SHARE, MIN_SEEN = 1 / 20_000, 8
 
 CLOSERS, OPENERS = "\"'”’“»›」』)\\]）】", "\"'“„«‹「『(\\[（【¿¡‘"
 #: A mark with what closes after it. A full stop counts only before white space or an end, marks of the scripts without blanks always.
-MARK = regex.compile(rf"(?:[.!?…;]+[{CLOSERS}]*(?:[   ][»›])?(?=\s|\Z|[぀-ヿ一-鿿])|[。！？।॥؟｡]+[{CLOSERS}]*)|(?<=\p{{Thai}})[  ]+(?=\p{{Thai}})")
+MARK = regex.compile(rf"(?:[.!?…;]+[{CLOSERS}]*(?:[ \u00a0\u202f][»›])?(?=\s|\Z|[぀-ヿ一-鿿])|[。！？।॥؟｡]+[{CLOSERS}]*)|(?<=\p{{Thai}})[ \u00a0]+(?=\p{{Thai}})")
 QUOTED = regex.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』")
 DIGITS = regex.compile(r"\p{Nd}+")
 WIDE, THAI = regex.compile(r"[぀-ヿ㐀-鿿]"), regex.compile(r"\p{Thai}")
@@ -125,7 +125,7 @@ def places(line: str) -> list[Place]:
         mark = m.group()
         if end >= last:
             break
-        thai = mark[0] in "  "
+        thai = mark[0] in " \u00a0"
         if ";" in mark and not (start and "Ͱ" <= line[start - 1] <= "Ͽ"):
             continue
         if thai:
@@ -136,7 +136,7 @@ def places(line: str) -> list[Place]:
             continue
         if mark[0] == "." and start and "฀" <= line[start - 1] <= "๿":
             continue  # Thai sentences have no full stop; it ends abbreviations
-        at = max(line.rfind(" ", 0, start), line.rfind(" ", 0, start)) + 1
+        at = max(line.rfind(" ", 0, start), line.rfind("\u00a0", 0, start)) + 1
         before = line[max(at, start - 24) : start]
         rest = line[end : end + 40].split(None, 1)
         if spans is None:
@@ -319,7 +319,7 @@ def word_counts(texts: list[str]) -> Counter:
             while m and m.end() < len(t):
                 m = MARK.search(t, m.end())
             if m:
-                out[(plain(t[max(t.rfind(" ", 0, m.start()), t.rfind(" ", 0, m.start())) + 1 : m.start()], True), True)] += 1
+                out[(plain(t[max(t.rfind(" ", 0, m.start()), t.rfind("\u00a0", 0, m.start())) + 1 : m.start()], True), True)] += 1
             if " | " not in t:
                 out[(" " + plain(t.split(None, 1)[0][:40], False), True)] += 1
     return out

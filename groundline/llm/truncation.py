@@ -3,11 +3,11 @@
 Only the last line of a text can be cut, so all other lines of the corpus show what whole lines look like. From them come
 
 * the vocabulary with, for words with a full stop, how often they end a line, kept as a trie: the table of its nodes (prefixes), with what ends there;
-* the forms of list items, table rows and reference lines (names and numbers left out), also as a trie, by words.
+* the forms of list items and table rows (names and numbers left out), also as a trie, by words.
 
 A last line is closed when it ends with a mark (quotes and brackets closed after it, and no word that never ends a line before it). An open
-line of prose is cut, and so is a text that ends with a sign of omission or a broken character. An open list item, row, reference or signature is cut if its form is an inner
-node of the trie of forms only, or if its final word is unknown and a proper prefix of known words. Scripts
+line of prose is cut, and so is a text that ends with a sign of omission or a broken character. An open list item or row is cut if its form is an inner
+node of the trie of forms only, or if its final word is unknown and a proper prefix of known words; a reference without its number and an address without a host too. Scripts
 without marks are judged by the last letters: whether these ever end a unit.
 
 Lengths add what the words can't show: where at least ``LIMIT_SHARE`` of a source's texts have one length and most of these are open, that length
@@ -40,10 +40,10 @@ LIMIT_SHARE, LIMIT_TEXTS, LIMIT_OPEN = 0.01, 4, 0.8
 
 #: Signs put after a cut text.
 OMISSION = regex.compile(r"\s*(?:…|\.\.\.+|[\[(]\s*(?:…|\.\.\.+|more|truncated|continued|cut|mehr|suite|más|далее)\s*[\])]|�)+\s*$", regex.IGNORECASE)
-CLOSED = regex.compile(r"[.!?。！？।॥؟｡]+[\"'”’“»›」』)\]）】]*(?:[   ][»›])?$")
+CLOSED = regex.compile(r"[.!?。！？।॥؟｡]+[\"'”’“»›」』)\]）】]*(?:[ \u00a0\u202f][»›])?$")
 QUESTION = regex.compile(r"\p{Greek}[^.!?;]*;$")
 PAIRS = (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ("(", ")"), ("[", "]"), ("（", "）"))
-DIGITS = regex.compile(r"\p{Nd}+(?:[.,   ]\p{Nd}+)*")
+DIGITS = regex.compile(r"\p{Nd}+(?:[.,\u00a0\u202f]\p{Nd}+)*")
 THAI = regex.compile(r"\p{Thai}")
 CAPITAL = regex.compile(r"^\P{L}*\p{Lu}")
 EDGES = "\"'“”„«»‹›「」『』()（）[]【】,;:،、"
@@ -132,7 +132,11 @@ def evidence(text: str, told: Told) -> str:
         return "cut"
     line = t[t.rfind("\n") + 1 :].strip()
     kind = kind_of(line)
-    if kind in ("signature", "address", "bracket"):
+    if kind == "reference":
+        return "open" if regex.search(r"\p{Nd}$", line) else "cut"
+    if kind == "address":
+        return "open" if regex.match(r"(?:https?://)?[^/]+\.\p{L}{2,}(?:[/?#:]|$)", line) else "cut"
+    if kind in ("signature", "bracket"):
         return "open" if len(line) > 4 else "cut"
     if kind == "prose":
         if QUESTION.search(line):
@@ -158,8 +162,6 @@ def evidence(text: str, told: Told) -> str:
     form = form_of(line, told.words)
     if told.forms.get(form):
         return "open"
-    if kind == "reference":
-        return "open" if regex.search(r"\p{Nd}$", line) else "cut"
     if form in told.forms:
         return "cut"
     head, _, tail = form.rpartition(" ")
@@ -226,7 +228,7 @@ def learned(texts: DataFrame) -> Told:
 
     def forms(text: str, n: Counter, ends: Counter) -> None:
         for line in whole_lines(text):
-            if kind_of(line) in ("item", "row", "reference"):
+            if kind_of(line) in ("item", "row"):
                 n[0, form_of(line, told.value)] += 1
 
     found = counted(forms, FORM_SHARE)
