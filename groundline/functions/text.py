@@ -39,7 +39,7 @@ def entity_key_sql(name: str) -> str:
 def clean_lines(text: Column) -> Column:
     """One blank for runs of blanks, lines stripped, blank lines dropped."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    stripped = F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t ]+", " ")))
+    stripped = F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t\u00A0]+", " ")))
     return F.array_join(F.filter(stripped, lambda x: x != ""), "\n")
 
 
