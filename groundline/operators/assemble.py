@@ -48,3 +48,8 @@ def assembled(questions: DataFrame, hits: DataFrame, floor: float = 0.45) -> Dat
     )
     reasons = F.when(F.col("best").isNull(), F.array(F.lit("no hits"))).otherwise(reasons)
     return x.select("qid", F.coalesce("best", F.lit(0.0)).alias("best"), "cited", (F.size(reasons) > 0).alias("weak"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def summary() -> Column:
+    """One line on an assembled question (best, weak, reasons)."""
+    return F.concat(F.format_string("max_similarity=%.3f", "best"), F.when(F.col("weak"), F.concat(F.lit(" weak="), "reasons")).otherwise(" strong"))

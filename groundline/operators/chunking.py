@@ -32,6 +32,42 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return y.select(id_col, (F.row_number().over(W.partitionBy(id_col).orderBy("block")) - 1).alias("block_no"), "is_table", "body")
 
 
+def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, section_no, heading and body: lines under each "#" heading, "overview" before the first; sections without a body are dropped."""
+    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    w = W.partitionBy(id_col).orderBy("line_no")
+    title = F.regexp_extract("line", r"^#{1,6}\s+(\S.*?)\s*$", 1)
+    x = lines.withColumn("title", F.when(title != "", title))
+    x = x.withColumn("heading", F.coalesce(F.last("title", ignorenulls=True).over(w), F.lit("overview"))).withColumn("part", F.count("title").over(w))
+    body = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda l: l["line"]), "\n"))
+    y = x.where("title IS NULL").groupBy(id_col, "part", "heading").agg(body.alias("body")).where("body <> ''")
+    return y.select(id_col, (F.row_number().over(W.partitionBy(id_col).orderBy("part")) - 1).alias("section_no"), "heading", "body")
+
+
+def trim_partial_row(text: Column) -> Column:
+    """Without its first line, if that is a table row with fewer bars than the text's rows usually have."""
+    lines = F.split(text, "\n")
+    bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
+    rows = F.filter(F.transform(lines, strip), lambda x: x.startswith("|") & x.endswith("|"))
+    usual = F.get(F.array_sort(F.transform(rows, bars)), F.floor(F.size(rows) / 2).cast("int"))
+    first = strip(F.get(lines, F.lit(0)))
+    cut = (F.size(lines) >= 2) & (F.size(rows) >= 2) & first.startswith("|") & (bars(first) < usual)
+    return F.when(cut, strip(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n"))).otherwise(text)
+
+
+def units(docs: DataFrame, id_col: str, text_col: str, entity_col: str) -> DataFrame:
+    """id_col, unit_no, section and piece: what the chunker packs, every piece within the room of its section."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(doc, i, s, p) for doc, text, entity in zip(f[id_col], f[text_col], f[entity_col], strict=True) for i, (s, p) in enumerate(Packer(entity).units(text))]
+            yield pd.DataFrame(rows, columns=[id_col, "unit_no", "section", "piece"])
+
+    whole = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col, entity_col)
+    return spread(whole).mapInPandas(run, f"{id_col} {kind}, unit_no int, section string, piece string")
+
+
 def wrapped(text: Column, most: int) -> Column:
     """Words packed into lines of at most ``most`` characters."""
     return pack(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != ""), most, " ")

@@ -258,6 +258,11 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir)
 
 
+@query(f"WITH {_ASSEMBLE} SELECT qid, 'max_similarity=' || printf('%.3f', coalesce(best, 0)) || CASE WHEN len(reasons) > 0 THEN ' weak=' || array_to_string(reasons, ',') ELSE ' strong' END AS summary FROM r")
+def assemble_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir).select("qid", assemble.summary().alias("summary"))
+
+
 @query(f"WITH {_ASSEMBLE} SELECT u.reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) u GROUP BY u.reason")
 def weak_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir).select(F.explode(F.split("reasons", ",")).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
@@ -271,6 +276,16 @@ def floor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.join(q.select(F.col("id").alias("qid"), F.col("entity").alias("class")), "qid").groupBy("class").agg(F.count("*").alias("questions"), F.min("similarity").alias("least"), F.max("similarity").alias("most"))
 
 
+@query()
+def topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks nearest to every fiftieth question, by hashed words (hash function without a twin in SQL)."""
+    asked = index.embedded(table(spark, sf_dir, "answers").where("answer_id % 50 = 0 AND question IS NOT NULL"), "answer_id", "question")
+    numbered = table(spark, sf_dir, "chunks").select(F.xxhash64("id").alias("key"), F.concat_ws(" ", "scheme_name", "section", "text").alias("text"))
+    q = asked.select(F.col("answer_id").alias("id"), F.lit("").alias("entity"), F.col("embedding").alias("vector"))
+    v = index.embedded(numbered, "key", "text").select(F.col("key").alias("id"), F.lit("").alias("entity"), F.col("embedding").alias("vector"))
+    return search.top_k(q, v).drop("entity")
+
+
 # Guards
 
 _DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
@@ -372,6 +387,13 @@ def query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", "turn", F.col("text").alias("question"), F.when(F.col("origin") == "memory", F.concat_ws(" ", "text", "entity")).otherwise(F.col("text")).alias("query_text"))
 
 
+@query(f"WITH {_RESOLVED} SELECT conv_id, turn, 'Question: ' || text || chr(10) || 'Source: ' AS message, contains(text, entity) AS named FROM r WHERE origin = 'memory'")
+def memory_prompt_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message to a model holds the question as asked; an entity from memory goes into the query text only."""
+    r = memory_resolve(spark, sf_dir).where("origin = 'memory'")
+    return r.select("conv_id", "turn", answers.user_message(F.col("text"), F.lit("")).alias("message"), F.col("text").contains(F.col("entity")).alias("named"))
+
+
 # Chunking
 
 _LINES = "SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL"
@@ -413,6 +435,28 @@ def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", text.overlap_tail(F.col("text")).alias("tail"))
 
 
+_TITLE = r"regexp_extract(line, '^#{1,6}\s+(\S.*?)\s*$', 1)"
+
+
+@query(f"WITH l AS ({_LINES}), t AS (SELECT *, nullif({_TITLE}, '') AS title FROM l), h AS (SELECT *, coalesce(last_value(title IGNORE NULLS) OVER w, 'overview') AS heading, count(title) OVER w AS part FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), b AS (SELECT doc_id, part, heading, {text.strip_sql('string_agg(line, chr(10) ORDER BY line_no)')} AS body FROM h WHERE title IS NULL GROUP BY doc_id, part, heading) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS section_no, heading, body FROM b WHERE body <> ''")
+def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.sections(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+
+
+_BAR_ROWS = f"list_filter([{text.strip_sql('x')} FOR x IN str_split(text, chr(10))], lambda x: starts_with(x, '|') AND ends_with(x, '|'))"
+_BARS = "length({0}) - length(replace({0}, '|', ''))"
+
+
+@query(f"SELECT id, CASE WHEN contains(text, chr(10)) AND len(rows) >= 2 AND starts_with(first, '|') AND {_BARS.format('first')} < list_sort([{_BARS.format('x')} FOR x IN rows])[len(rows) // 2 + 1] THEN {text.strip_sql('array_to_string(str_split(text, chr(10))[2:], chr(10))')} ELSE text END AS text FROM (SELECT id, text, {_BAR_ROWS} AS rows, {text.strip_sql('str_split(text, chr(10))[1]')} AS first FROM chunks WHERE text IS NOT NULL)")
+def trim_partial_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("id", chunking.trim_partial_row(F.col("text")).alias("text"))
+
+
+@query()
+def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.units(docs.typed(table(spark, sf_dir, "page_docs")), "pd_id", "text", "scheme_name")
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' texts in chunks of 400 to 512 characters with their section, number and count."""

@@ -152,3 +152,18 @@ def test_quarantine(spark):
     kept, failed = docs.split(pages)
     assert [r.pd_id for r in kept.collect()] == [1]
     assert {r.pd_id: r.reason for r in failed.collect()} == {2: "no text", 3: "no source", 4: "no text"}
+
+
+def test_sections_and_partial_rows(spark):
+    df = spark.createDataFrame([(1, "intro\n# One\nbody\n## Empty\n### Two  \n a\nb"), (2, "#no heading"), (3, "")], "doc_id long, text string")
+    got = [(r.doc_id, r.section_no, r.heading, r.body) for r in chunking.sections(df, "doc_id", "text").orderBy("doc_id", "section_no").collect()]
+    assert got == [(1, 0, "overview", "intro"), (1, 1, "One", "body"), (1, 2, "Two", "a\nb"), (2, 0, "overview", "#no heading")]
+    cases = {"| 1% |\n| a | b |\n| c | d |": "| a | b |\n| c | d |", "| a | b |\n| c | d |": "| a | b |\n| c | d |", "x\n| a | b |\n| c |": "x\n| a | b |\n| c |", "| 1% |": "| 1% |"}
+    for text, want in cases.items():
+        assert spark.createDataFrame([(text,)], "t string").select(chunking.trim_partial_row(F.col("t"))).first()[0] == want
+
+
+def test_units_stay_within_their_room(spark):
+    text = "\n".join(["# Head", "Word and more. " * 80, "a | b", "c | d" * 200])
+    rows = chunking.units(spark.createDataFrame([(1, text, "E")], "d long, text string, entity string"), "d", "text", "entity").collect()
+    assert all(len(r.piece) <= 512 - len("E | Head") - 1 for r in rows if "c | d" not in r.piece) and {r.section for r in rows} == {"Head"}
