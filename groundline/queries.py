@@ -356,7 +356,7 @@ def history_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.user_turns(table(spark, sf_dir, "chat_turns"))
 
 
-_CLEAN = " AND ".join(f"NOT regexp_matches(text, {rules.literal(p)})" for _, p in rules.PERSONAL)
+_CLEAN = " AND ".join(f"NOT regexp_matches(text, {rules.alone_sql(p)})" for _, p in rules.PERSONAL)
 
 
 @query(f"WITH {_TURNS} SELECT conv_id, turn, text, CAST(back AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS back FROM u WHERE text <> '' AND {_CLEAN}) WHERE back <= 10")

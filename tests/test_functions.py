@@ -54,6 +54,23 @@ def test_redaction_is_in_order_and_keeps_the_rest(spark):
     assert "a@b" not in got and "9876543210" not in got and "12345678" not in got and got.startswith("mail [redacted]")
 
 
+def test_neighbours_are_both_redacted(spark):
+    assert one(spark, rules.redact, "9876543210 9876543211,9876543212") == "[redacted] [redacted],[redacted]"
+
+
+def test_the_sql_of_the_rules_says_the_same(spark):
+    import duckdb
+
+    texts = ["9876543210 9876543211,9876543212", "mail a@b.example, call +91 98765 43210.", "OTP is 4321; folio no. 12345678", "PAN ABCDE1234F 1234-5678-9012", "x12345678 1.03% 123456", "Should I buy? best funds", "highest return of all"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(rules.redact(t), F.array_join(rules.matches(t, rules.PERSONAL), ","), rules.verdict(t)).collect()
+    con = duckdb.connect()
+    for text, row in zip(texts, got, strict=True):
+        sql = f"SELECT {rules.redact_sql('t')}, array_to_string({rules.matches_sql('t', rules.PERSONAL)}, ','), {rules.verdict_sql('t')} FROM (SELECT ? AS t)"
+        assert tuple(row) == con.execute(sql, [text]).fetchone()
+
+
 def test_verdict_precedence(spark):
     assert one(spark, rules.verdict, "Should I buy it? PAN ABCDE1234F") == "pii"
     assert one(spark, rules.verdict, "Should I buy Alpha Fund?") == "advice"
