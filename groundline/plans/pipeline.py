@@ -8,23 +8,32 @@ from pyspark.sql import functions as F
 from groundline.functions.rules import verdict
 from groundline.functions.text import display_name, words
 from groundline.operators import answers, memory
+from groundline.runtime import cut
 
 
 def best_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """conv_id, turn and the chunk (struct hit) of the named entity with most of the question's words.
+    """conv_id, turn and the chunk (struct hit) of the named entity whose heading has most of the question's words; ties go to the smallest id.
 
-    Words and entity are the keys of an equi-join; the overlap is counted, and the best is an aggregate, so no group of chunks is gathered.
+    Only words that both sides have, the entity's own name left out, count; so questions with the same words of an entity are one, and so are its headings; what is
+    joined on (entity, word) are the different word sets, far fewer than questions and chunks.
     """
-    asked = questions.select("conv_id", "turn", "entity", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).where(F.length("word") > 3)
-    said = chunks.where("text IS NOT NULL").select("id", F.lower(display_name(F.col("scheme_name"))).alias("key"), F.explode(F.array_distinct(words(F.concat_ws(" ", "section", F.split("text", "\n")[0])))).alias("word"))
-    met = asked.withColumn("key", F.lower("entity")).join(said, ["key", "word"]).groupBy("conv_id", "turn", "id").agg(F.count("*").alias("n"))
-    first = met.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "id")).alias("m")).select("conv_id", "turn", F.col("m.id").alias("id"))
-    return first.join(chunks.select("id", F.struct("text", "source_url", "fetched_at", "scheme_name").alias("hit")), "id").select("conv_id", "turn", "hit")
+    asked = questions.select("conv_id", "turn", F.lower("entity").alias("key"), F.explode(F.array_except(words(F.col("text")), words(F.col("entity")))).alias("word")).where(F.length("word") > 3)
+    heading = F.concat_ws(" ", "section", F.get(F.split("text", "\n"), F.lit(0)))
+    said = chunks.where("text IS NOT NULL").select("id", F.lower(display_name(F.col("scheme_name"))).alias("key"), F.explode(F.array_except(words(heading), words(F.col("scheme_name")))).alias("word"))
+    both = asked.select("key", "word").distinct().join(said.select("key", "word").distinct(), ["key", "word"])
+    sets = F.array_sort(F.collect_set("word")).alias("words")
+    of_question = asked.join(both, ["key", "word"], "left_semi").groupBy("conv_id", "turn", "key").agg(sets)
+    of_heading = said.join(both, ["key", "word"], "left_semi").groupBy("id", "key").agg(sets).groupBy("key", "words").agg(F.min("id").alias("id"))
+    different = of_question.select("key", "words").distinct().select("key", "words", F.explode("words").alias("word"))
+    met = different.join(of_heading.select("key", "id", F.explode("words").alias("word")), ["key", "word"]).groupBy("key", "words", "id").agg(F.count("*").alias("n"))
+    best = met.groupBy("key", "words").agg(F.min(F.struct(-F.col("n"), "id")).alias("m")).select("key", "words", F.col("m.id").alias("id"))
+    hits = chunks.select("id", F.struct("text", "source_url", "fetched_at", "scheme_name").alias("hit"))
+    return of_question.join(best, ["key", "words"]).join(hits, "id").select("conv_id", "turn", "hit")
 
 
 def answered(turns: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per user turn: mode, text, source_url, last_updated, reason and the stage at which it stopped."""
-    asked = memory.resolved(turns, memory.entities(sources)).withColumn("verdict", verdict(F.col("text")))
+    asked = cut(memory.resolved(turns, memory.entities(sources)).withColumn("verdict", verdict(F.col("text"))))  # read several times below
     open_ = asked.where("verdict = 'allow' AND text <> '' AND entity <> ''")  # what is refused never reaches retrieval
     hits = best_chunks(open_, chunks)
     x = asked.join(hits, ["conv_id", "turn"], "left")
