@@ -120,8 +120,10 @@ def shard_blocks(min_pages: int, min_share: float):
         at = np.insert(own, np.r_[edge, len(line)], np.arange(len(edge) + 1))
         ids = np.insert(line, np.r_[edge, len(line)], 0)
         n = len(edge) + 1
-        least = max(2, int(np.ceil(min_share * n - 1e-9)), min_pages if whole else 0)
-        found = list(blocks(*suffix_array(s), at, least))
+        least = max(1, int(np.ceil(min_share * n - 1e-9)), min_pages if whole else 0)
+        found = list(blocks(*suffix_array(s), at, max(2, least)))
+        if least == 1:  # so few pages in the shard that one is its part of the threshold: every line may be frequent
+            found += [(int(i), 1, 1) for i in np.unique(np.where(s >= 0, s, -1), return_index=True)[1] if s[i] >= 0]
         return pa.table(
             {
                 "site": pa.array([site] * len(found), pa.string()),
