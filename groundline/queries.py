@@ -542,7 +542,7 @@ def ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn through guard, memory, retrieval and post-checks; the reply is the best line of the page retrieved."""
+    """Every user turn through guard, memory, search, assembly and post-checks; the reply quotes the cited chunk."""
     return pipeline.answered(table(spark, sf_dir, "chat_turns"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "sources"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundline.operators import answers, assemble, chunking, index, memory, search
+from groundline.plans import pipeline
 from groundline.sources import documents as docs
 
 
@@ -167,3 +168,18 @@ def test_units_stay_within_their_room(spark):
     text = "\n".join(["# Head", "Word and more. " * 80, "a | b", "c | d" * 200])
     rows = chunking.units(spark.createDataFrame([(1, text, "E")], "d long, text string, entity string"), "d", "text", "entity").collect()
     assert all(len(r.piece) <= 512 - len("E | Head") - 1 for r in rows if "c | d" not in r.piece) and {r.section for r in rows} == {"Head"}
+
+
+def test_pipeline_searches_whole_chunks(spark):
+    sources = spark.createDataFrame([("http://a", "Alpha Fund"), ("http://b", "Beta Fund"), ("http://c", "Gamma Fund")], "url string, scheme_name string")
+    body = "Overview\nFirst line\nThe exit load is 1.25% within ninety days."
+    chunks = [("a-0", body, "Alpha Fund", "http://a"), ("b-0", "Overview\nFirst line\nThe benchmark index follows 250 companies.", "Beta Fund", "http://b"), ("g-0", "Guide\nIntro\nWhat does riskometer mean: it shows the grade of risk.", None, "http://g")]
+    chunks = spark.createDataFrame([(*c[:3], c[3], "s", "2025-01-01") for c in chunks], "id string, text string, scheme_name string, source_url string, section string, fetched_at string")
+    asked = ["Alpha Fund exit load within ninety days", "what does riskometer mean", "Gamma Fund exit load", "", "unrelated zebra umbrella"]
+    turns = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(asked)], "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r for r in pipeline.answered(turns, chunks, sources).collect()}
+    assert got[0].mode == "fact" and "1.25%" in got[0].text and got[0].source_url == "http://a"
+    assert got[1].mode == "fact" and got[1].source_url == "http://g"
+    assert [got[i].reason for i in (2, 3, 4)] == ["weak_retrieval", "empty", "weak_retrieval"]
+    made = {r.conv_id: r for r in pipeline.answered(turns, chunks, sources, lambda q, t: F.lit("The load is 7.77%.")).collect()}
+    assert made[0].reason == "ungrounded" and made[0].stopped_at == "generate" and made[0].text == ""
