@@ -6,11 +6,11 @@ Only the last line of a text can be cut, so all other lines of the corpus show w
 * the forms of list items and table rows (names and numbers left out), also as a trie, by words.
 
 A last line is closed when it ends with a mark (quotes and brackets closed after it, and no word that never ends a line before it). An open
-line of prose is cut, and so is a text that ends with a sign of omission or a broken character. An open list item or row is cut if its form is an inner
+line of prose is cut by its missing mark alone, without trie or length, and so is a text that ends with a sign of omission or a broken character. An open list item or row is cut if its form is an inner
 node of the trie of forms only, or if its final word is unknown and a proper prefix of known words; a reference without its number and an address without a host too. Scripts
 without marks are judged by the last letters: whether these ever end a unit.
 
-Lengths add what the words can't show: where at least ``LIMIT_SHARE`` of a source's texts have one length and most of these are open, that length
+Lengths add what the words can't show: where at least ``LIMIT_SHARE`` of a source's different texts have one length and most of these are open, that length
 is a limit of the source, and open texts of that length are cut whatever their last line looks like.
 
 Vocabulary, forms and lengths are counted over all texts. Words and forms on a fixed share of all lines are handed to the tasks, at most 1 / share of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from groundline.runtime import cut, spread
 
 WORD_SHARE, FORM_SHARE, MIN_SEEN = 1 / 50_000, 1 / 50_000, 3
-#: Different open texts of one source and length (a share of the source's texts, and at least so many), and the part of the texts of that length that is open, that make a limit.
+#: Different open texts of one source and length (a share of the source's different texts, and at least so many), and the part of the texts of that length that is open, that make a limit.
 LIMIT_SHARE, LIMIT_TEXTS, LIMIT_OPEN = 0.01, 4, 0.8
 
 #: Signs put after a cut text.
@@ -249,8 +249,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     seen = spread(rows).mapInArrow(run, f"row struct<id: {kind}, source: string>, length int, evidence string, hash long").where("evidence <> 'blank'")
     seen = cut(seen.select(F.col("row.id").alias(id_col), F.col("row.source").alias("source"), "length", "evidence", "hash"))
-    per_source = seen.groupBy("source").agg(F.count("*").alias("texts"))
     different = seen.groupBy("source", "length", "evidence", "hash").agg(F.lit(1).alias("one"))
+    per_source = different.groupBy("source").agg(F.count("*").alias("texts"))
     lengths = different.groupBy("source", "length").agg(F.count("*").alias("n"), F.count_if(F.col("evidence") != "closed").alias("open"))
     limits = lengths.join(per_source, lengths.source.eqNullSafe(per_source.source)).where((F.col("open") >= LIMIT_TEXTS) & (F.col("open") >= F.col("texts") * LIMIT_SHARE) & (F.col("open") >= F.col("n") * LIMIT_OPEN))
     limits = limits.select(lengths.source.alias("of"), F.col("length").alias("limit"))

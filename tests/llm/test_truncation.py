@@ -63,3 +63,16 @@ def test_rates_and_empty_table(spark):
 
 def test_very_long_text(spark):
     assert lost(spark, [((sentence() + " ") * 20_000, "s"), ((sentence() + " ") * 20_000 + "The", "s")], 50) == {1}
+
+
+def test_length_limit_in_a_source_of_copies(spark):
+    texts = []
+    while len(texts) < 6:
+        t = "\n".join(item() for _ in range(20))[:300]
+        if len(t) == 300 and t[-1] != " ":
+            texts.append(t)
+    listed = (sentence() + "\n" + item()).rjust(300, "A")
+    rows = [(i, doc() + "\n" + sentence(), "short_field") for i in range(100)] + [(1000 + i, t, "short_field") for i, t in enumerate([*texts, listed])]
+    rows += [(2000 + i, "The same whole text.", "short_field") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert 1006 in {r.doc_id for r in tr.lost_ends(df).collect()}
