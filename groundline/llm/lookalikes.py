@@ -36,8 +36,17 @@ ARMENIAN = dict(zip("ՕՍՏԼօսհոցզ", "OUSLouhngq", strict=True))
 CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎶᎷᎻᎽᏀᏃᏏᏒᏔᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiAJEWGMHYGZbRWVSLCPKdGB", strict=True))
 NUMERALS = dict(zip("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm", strict=True))
 OTHERS = dict(zip("ɑɡⲞⲟꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "agOoBPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
-#: Accented letters of Cyrillic and Greek of the same shape as accented Latin ones.
-ACCENTED = dict(zip("ЀЁЇѐёїӐӑӒӓӖӗόΪΫ", "ÈËÏèëïĂăÄäĔĕóÏŸ", strict=True))
+
+
+def accented(letters: dict[str, str]) -> dict[str, str]:
+    """The letters that NFC makes of a twin and a mark, where it also makes one of the Latin letter and the mark."""
+    marks = [chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c))]
+    made = ((unicodedata.normalize("NFC", own + m), unicodedata.normalize("NFC", latin + m)) for own, latin in letters.items() for m in marks)
+    return {own: latin for own, latin in made if len(own) == len(latin) == 1}
+
+
+#: By rule: accented letters of the same shape as accented Latin ones.
+ACCENTED = accented(CYRILLIC | GREEK | ARMENIAN | CHEROKEE | NUMERALS | OTHERS)
 #: Characters that show nothing, and blanks and line ends of other kinds.
 INVISIBLE = "\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF9}-\\x{FFFB}\\x{1BCA0}-\\x{1BCA3}\\x{1D173}-\\x{1D17A}\\x{E0000}-\\x{E0FFF}\\x{0000}-\\x{0008}\\x{000E}-\\x{001B}\\x{007F}-\\x{0084}\\x{0086}-\\x{009F}"
 BLANKS = "\\x{0009}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{001F}"

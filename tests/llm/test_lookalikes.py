@@ -39,3 +39,8 @@ def test_form_gives_words_their_own_script_back_and_keeps_the_key(spark):
 def test_very_long_texts(spark):
     long = "wörd " * 200_000
     assert pairs(spark, [long, long.replace("ö", "ö")]) == {(0, 1)}
+
+
+def test_accented_twins_by_rule(spark):
+    cases = [("sch\u043e\u0308n", "schön"), ("\u0386x", "Áx"), ("\u1f78x", "òx"), ("\u04ef", "ȳ"), ("\u040c", "Ḱ")]
+    assert pairs(spark, [t for pair in cases for t in pair]) == {(2 * n, 2 * n + 1) for n in range(len(cases))}
