@@ -72,7 +72,7 @@ def line_hash(line: str) -> int:
 
 def gram_places(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places in the hashed weights of the character sequences of all lines, and the line of each."""
-    clean = [" " + DIGITS.sub("0", x.strip()).lower()[:400] + "  " if x.strip() else "" for x in lines]
+    clean = [" " + DIGITS.sub("0", x.strip()).lower() + "  " if x.strip() else "" for x in lines]
     size = np.fromiter(map(len, clean), np.int64, len(clean))
     a = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     line = np.repeat(np.arange(len(clean)), size)
@@ -263,7 +263,7 @@ def templates_of(line: str, words: frozenset[int]) -> tuple[int, int, int]:
         return hashed(f"{k[:5]}~{k[-5:]}"), hashed(f"{k[:3]}~"), hashed(f"~{k[-3:]}")
     w = [x if not CASED.search(x) or hashed(x) in words else "W" + (x[-1] if not x[-1].isalnum() else "") for x in t.split()]
     w = RUNS.sub("W", " ".join(w)).lower().split()
-    return hashed(" ".join(w)[:80]), hashed("^" + " ".join(w[:2])), hashed("$" + " ".join(w[-2:]))
+    return hashed(" ".join(w)), hashed("^" + " ".join(w[:2])), hashed("$" + " ".join(w[-2:]))
 
 
 def averaged(pages: list[list[str]], odds: list[np.ndarray], told: Told) -> list[np.ndarray]:

@@ -60,3 +60,10 @@ def test_no_labels_one_label_no_pages(spark):
     assert mb.labelled_lines(docs, labels.limit(0)).count() > 0
     assert all(r.is_main for r in mb.labelled_lines(docs, labels.where("is_main")).collect())
     assert mb.labelled_lines(docs.limit(0), labels).count() == 0
+
+
+def test_ends_of_long_lines_count():
+    long = "word " * 100
+    a, b = mb.gram_places([long + "share this"])[0], mb.gram_places([long + "share that"])[0]
+    assert sorted(a) != sorted(b)
+    assert mb.templates_of("- the same long line " * 8 + "one", frozenset())[0] != mb.templates_of("- the same long line " * 8 + "(", frozenset())[0]
