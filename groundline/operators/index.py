@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.functions.text import strip
+from groundline.operators import chunking
 from groundline.runtime import spread
 
 DIMENSIONS = 64
@@ -53,6 +54,13 @@ def append(chunks: DataFrame, path: str) -> int:
     return 0 if new.isEmpty() else write(new, path, "append")
 
 
+def page_chunks(pages: DataFrame) -> DataFrame:
+    """id, source_url, chunk_index, chunk_count, section and text of every chunk of the pages that have an address and a text; of several pages with one address the longest."""
+    usable = pages.select(F.trim("source_url").alias("source_url"), "text", "scheme_name").where("source_url <> '' AND text <> ''")
+    one = usable.groupBy("source_url").agg(F.max(F.struct(F.length("text"), "text", "scheme_name")).alias("page")).select("source_url", "page.text", "page.scheme_name")
+    return chunking.chunked(one, "source_url", "text", "scheme_name").withColumn("id", chunk_id(F.col("source_url"), F.col("chunk_index").cast("string")))
+
+
 def to_append(new: DataFrame, have: DataFrame) -> DataFrame:
     return new.join(have, "id", "left_anti")
 

@@ -136,6 +136,14 @@ def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.to_append(new, have)
 
 
+@query()
+def index_append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of the usable pages that the index does not have, by its address and number."""
+    made = index.page_chunks(docs.typed(table(spark, sf_dir, "page_docs")))
+    have = table(spark, sf_dir, "chunks").select(index.chunk_id(F.col("source_url"), F.col("chunk_index")).alias("id"))
+    return index.to_append(made, have)
+
+
 @query()
 def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.embedded(table(spark, sf_dir, "documents"), "doc_id", "text")

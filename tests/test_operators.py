@@ -183,3 +183,13 @@ def test_pipeline_searches_whole_chunks(spark):
     assert [got[i].reason for i in (2, 3, 4)] == ["weak_retrieval", "empty", "weak_retrieval"]
     made = {r.conv_id: r for r in pipeline.answered(turns, chunks, sources, lambda q, t: F.lit("The load is 7.77%.")).collect()}
     assert made[0].reason == "ungrounded" and made[0].stopped_at == "generate" and made[0].text == ""
+
+
+def test_append_of_grown_pages(spark):
+    text = "\n".join(f"# Part {i}\n" + f"Words of part {i}. " * 40 for i in range(4))
+    pages = spark.createDataFrame([("http://a ", text, "A"), ("http://a", text, "A"), ("", text, "A"), ("http://b", None, "B")], "source_url string, text string, scheme_name string")
+    made = index.page_chunks(pages)
+    ids = {r.id for r in made.collect()}
+    assert len(ids) == made.count() > 3
+    first = made.where("chunk_index = 0").select("id")
+    assert {r.id for r in index.to_append(made, first).collect()} == ids - {first.first().id}
