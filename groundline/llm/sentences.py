@@ -7,8 +7,8 @@ decoded over the others; the last character of a line that is not blank is a bou
 Nobody labelled the texts; the model is trained on what they show themselves:
 
 * the ends of lines are sure boundaries. For training, line ends are stripped: neighbouring lines are put together,
-  so a line end looks like any other place between sentences. In scripts without closing marks, blanks and line ends are stripped and the places where
-  they stood are to be found again among all places between two letters;
+  so a line end looks like any other place between sentences. In scripts without closing marks two lines are joined by a blank and only blanks are
+  places; training on text whose blanks are stripped, with all places between two letters, is not done (why it would or wouldn't help is not measured);
 * a mark before a small letter or after a word that never ends a line is surely inside.
 
 A mark in a quotation after which the sentence goes on is inside by definition.
