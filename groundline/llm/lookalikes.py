@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 from groundline.runtime import cut, spread
 
+#: Copies of one text, about, that one task expands.
+HOT = 20_000
+
 #: Letters of other scripts and the letters of the same shape.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜӀаеѕіјорсухһԁԛԝүѵӏ", "ABESIJKMHOPCTYXYGQWIaesijopcyxhdqwyvl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc", strict=True))
@@ -126,16 +129,23 @@ def consistent(df: DataFrame, id_col: str, text_col: str = "text", readable: boo
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Pairs of rows whose texts differ but look the same: (id)_a and (id)_b, the smaller first.
 
-    The texts leave their partition as two 128-bit digests only, of the text and of its skeleton. A class without two
-    different texts is dropped before anything is paired.
+    The texts leave their partition as two 128-bit digests only, of the text and of its skeleton. Different texts of one look are paired
+    first, each once however many copies it has; then both are expanded to their rows. Rows of a text with more than ``HOT`` copies are
+    divided over several tasks (there are at most rows / ``HOT`` such texts, which is what is broadcast).
     """
     rows = df.select(F.struct(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("own")).alias("row"), F.col(text_col).alias("text")).where("text <> ''")
     keys = consistent(rows, "row", "text", readable=False).where("skeleton <> ''").select("row.id", "row.own", F.md5(F.col("skeleton").cast("binary")).alias("look"))
-    keys = cut(keys.distinct())
-    several = keys.groupBy("look").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("look")
-    members = keys.join(several, "look", "left_semi")
-    a, b = (members.select("look", F.col("id").alias(f"{id_col}_{x}"), F.col("own").alias(x)) for x in "ab")
-    return a.join(b, "look").where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).where("a <> b").select(f"{id_col}_a", f"{id_col}_b").distinct()
+    keys = cut(keys)
+    texts = cut(keys.groupBy("look", "own").agg(F.ceil(F.count("*") / HOT).alias("parts")))
+    hot = F.broadcast(texts.where("parts > 1").select("own", F.col("parts").alias("of")))
+    members = keys.join(hot, "own", "left").select("own", "id", F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1))).alias("part"))
+    a, b = (texts.select("look", F.col("own").alias(x), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    pairs = a.join(b, "look").where("a < b")
+    for x in "ab":
+        pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{x}") - 1)))
+        pairs = pairs.join(members.select(F.col("own").alias(x), "part", F.col("id").alias(f"id_{x}")), [x, "part"]).drop("part")
+    first, last = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
+    return pairs.where("id_a <> id_b").select(first.alias(f"{id_col}_a"), last.alias(f"{id_col}_b")).distinct()
 
 
 def look_alike_sql(table: str, id_col: str, text_col: str = "text") -> str:

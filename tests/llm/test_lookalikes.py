@@ -44,3 +44,16 @@ def test_very_long_texts(spark):
 def test_accented_twins_by_rule(spark):
     cases = [("sch\u043e\u0308n", "schön"), ("\u0386x", "Áx"), ("\u1f78x", "òx"), ("\u04ef", "ȳ"), ("\u040c", "Ḱ")]
     assert pairs(spark, [t for pair in cases for t in pair]) == {(2 * n, 2 * n + 1) for n in range(len(cases))}
+
+
+def test_many_copies_of_one_text_and_one_look_alike(spark):
+    df = spark.range(100_000).selectExpr("id AS pd_id", "IF(id = 7, 'p\u0430y', 'pay') AS text")
+    got = lookalikes.look_alike_pairs(df, "pd_id")
+    assert got.count() == 99_999 and got.where("pd_id_a = 7 OR pd_id_b = 7").count() == 99_999
+
+
+def test_copies_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "HOT", 2)
+    texts = ["pay"] * 5 + ["p\u0430y"] * 4 + ["\u0440ay"] + ["other"] * 3
+    want = {(i, j) for i in range(10) for j in range(i + 1, 10) if texts[i] != texts[j]}
+    assert pairs(spark, texts) == want
