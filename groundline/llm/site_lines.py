@@ -21,6 +21,7 @@ alone exceed it; shards are bounded in lines, not pages, by the average. Empty t
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,23 +91,67 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def blocks(order: np.ndarray, common: np.ndarray, page: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(start, number of lines, number of pages) of each repeated block in at least ``least`` pages.
 
-    Blocks are the intervals of the suffix array whose common prefix is longer than that of the suffixes around them.
+    Blocks are the intervals of the suffix array whose common prefix is longer than that of the suffixes around them. The pages of an
+    interval are its suffixes less the neighbours of one page in it: each two suffixes of one page that follow one another in the
+    array count at the innermost interval with both, and an interval hands its count on to the one around it.
     """
-    stack: list[tuple[int, int]] = []  # length of the common prefix, first suffix of its interval
-    for i in range(1, len(order) + 1):
-        now, left = int(common[i]) if i < len(order) else 0, i - 1
-        while stack and stack[-1][0] > now:
-            length, left = stack.pop()
-            if i - left >= least:
-                pages = len(np.unique(page[order[left:i]]))
-                if pages >= least:
-                    yield int(order[left]), length, pages
-        if now and (not stack or stack[-1][0] < now):
-            stack.append((now, left))
+    lengths, lefts, again = [0], [0], [0]  # of the open intervals: common prefix, first suffix, repeated pages
+    before: dict[int, int] = {}  # page -> its latest suffix
+    for i in range(len(order) + 1):
+        now = int(common[i]) if i < len(order) else 0
+        left = max(i - 1, 0)
+        while lengths[-1] > now:
+            length, left, more = lengths.pop(), lefts.pop(), again.pop()
+            pages = i - left - more
+            if pages >= least:
+                yield int(order[left]), length, pages
+            if lengths[-1] < now:
+                lengths.append(now)
+                lefts.append(left)
+                again.append(more)
+            else:
+                again[-1] += more
+        if now > lengths[-1]:
+            lengths.append(now)
+            lefts.append(left)
+            again.append(0)
+        if i < len(order):
+            p = int(page[order[i]])
+            if p in before:
+                again[bisect_right(lefts, before[p]) - 1] += 1
+            before[p] = i
+
+
+def longest_of(found: list[tuple[int, int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` places the lines of the longest block over it and that block's pages, 0 where there is none.
+
+    Of the blocks that begin at one place the longest covers the others, so one number a place and one sweep are enough.
+    """
+    length, pages = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for start, k, p in found:
+        if k > length[start]:
+            length[start], pages[start] = k, p
+    best, of = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    free = list(range(n + 1))
+
+    def next_free(i: int) -> int:
+        while free[i] != i:
+            free[i] = free[free[i]]
+            i = free[i]
+        return i
+
+    # longest first: each place belongs to the first block that reaches it
+    for start in sorted(np.flatnonzero(length).tolist(), key=lambda x: -length[x]):
+        i, end = next_free(start), start + int(length[start])
+        while i < end:
+            best[i], of[i] = length[start], pages[start]
+            free[i] = i + 1
+            i = next_free(i)
+    return best, of
 
 
 def shard_blocks(min_pages: int, min_share: float):
-    """applyInArrow function: the lines of one shard of a site to its repeated blocks."""
+    """applyInArrow function: the lines of one shard of a site to those in repeated blocks, each with its longest block."""
 
     def run(table: pa.Table) -> pa.Table:
         page, line_no, line = (table.column(c).to_numpy() for c in ("page", "line_no", "line"))
@@ -124,29 +169,27 @@ def shard_blocks(min_pages: int, min_share: float):
         found = list(blocks(*suffix_array(s), at, max(2, least)))
         if least == 1:  # so few pages in the shard that one is its part of the threshold: every line may be frequent
             found += [(int(i), 1, 1) for i in np.unique(np.where(s >= 0, s, -1), return_index=True)[1] if s[i] >= 0]
-        return pa.table(
-            {
-                "site": pa.array([site] * len(found), pa.string()),
-                "lines": pa.array([ids[a : a + k] for a, k, _ in found], pa.list_(pa.int64())),
-                "pages": pa.array([p for *_, p in found], pa.int64()),
-            }
-        )
+        best, pages = longest_of(found, len(s))
+        at = np.flatnonzero(best)
+        at = at[np.lexsort((-best[at], ids[at]))]
+        at = at[np.r_[True, ids[at][1:] != ids[at][:-1]]] if len(at) else at
+        return pa.table({"site": pa.array([site] * len(at), pa.string()), "line": pa.array(ids[at], pa.int64()), "block": pa.array(best[at]), "pages": pa.array(pages[at])})
 
     return run
 
 
 def repeated_blocks(lines: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """site, lines (identifiers) and pages (in one shard) of each block that is repeated often enough in a shard of its site."""
+    """site, line, block and pages of each line in a block that is repeated often enough in a shard of its site: lines and pages of the longest such block."""
     size = lines.groupBy("site").agg(F.count("line").alias("n"), F.approx_count_distinct("page").alias("p"))
     shards = size.select("site", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_lines)).cast("int").alias("shards"))
     placed = lines.where("line IS NOT NULL").dropDuplicates(["site", "page", "line_no"]).join(shards, "site")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("page"), F.col("shards")).cast("int"))
-    return placed.groupBy("site", "shard").applyInArrow(shard_blocks(min_pages, min_share), "site string, lines array<long>, pages long")
+    return placed.groupBy("site", "shard").applyInArrow(shard_blocks(min_pages, min_share), "site string, line long, block long, pages long")
 
 
 def frequent_lines(lines: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard_lines: int = SHARD_LINES) -> DataFrame:
     """site, line, n_pages and longest_block (lines of the longest block with it) of the lines found, by exact counts over each site."""
-    candidates = repeated_blocks(lines, min_pages, min_share, shard_lines).select("site", F.explode("lines").alias("line"), F.size("lines").alias("block")).groupBy("site", "line").agg(F.max("block").alias("longest_block"))
+    candidates = repeated_blocks(lines, min_pages, min_share, shard_lines).groupBy("site", "line").agg(F.max("block").alias("longest_block"))
     candidates = cut(candidates)
     pages = lines.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
     seen = lines.join(candidates, ["site", "line"], "left_semi").select("site", "line", "page").distinct().groupBy("site", "line").agg(F.count("*").alias("n_pages"))

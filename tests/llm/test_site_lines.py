@@ -57,3 +57,44 @@ def test_suffix_array_against_sorting():
         for k in range(1, len(full)):
             a, b = full[order[k - 1] :], full[order[k] :]
             assert common[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+def brute_blocks(order, common, page, least):
+    """Every interval whose common prefix is longer than around it, with a plain count of its pages."""
+    out = set()
+    n = len(order)
+    for length in set(common[1:]) - {0}:
+        i = 1
+        while i < n:
+            if common[i] >= length:
+                j = i
+                while j < n and common[j] >= length:
+                    j += 1
+                if min(common[i:j]) == length and len(set(page[order[i - 1 : j]])) >= least:
+                    out.add((int(order[i - 1]), int(length), len(set(page[order[i - 1 : j]]))))
+                i = j
+            i += 1
+    return out
+
+
+def test_blocks_against_plain_counts():
+    rng = np.random.default_rng(3)
+    for n, kinds, pages in ((40, 3, 4), (200, 2, 9), (300, 6, 30), (60, 1, 2)):
+        s, page = rng.integers(0, kinds, n), np.sort(rng.integers(0, pages, n))
+        edge = np.flatnonzero(page[1:] != page[:-1]) + 1
+        s = np.insert(s, np.r_[edge, n], -1 - np.arange(len(edge) + 1))
+        at = np.insert(page, np.r_[edge, n], page[np.r_[edge - 1, n - 1]])
+        order, common = site_lines.suffix_array(s)
+        got = list(site_lines.blocks(order, common, at, 2))
+        assert set(got) == brute_blocks(order, common, at, 2) and len(set(got)) == len(got)
+        best, of = site_lines.longest_of(got, len(s))
+        for i in range(len(s)):
+            over = [(k, p) for a, k, p in got if a <= i < a + k]
+            assert best[i] == max([k for k, _ in over], default=0)
+
+
+def test_two_pages_of_many_equal_lines(spark):
+    text = "\n".join(["again"] * 50_000)
+    rows = [(i, text, "http://a.test/") for i in range(2)] + [(9 + i, "again\nx", "http://a.test/") for i in range(3)]
+    df = frame(spark, rows)
+    assert site_lines.repeated_lines(df, "pd_id", "text", F.col("url")).count() == 100_003
