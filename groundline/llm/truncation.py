@@ -1,20 +1,23 @@
 """Texts that lost their end (problem 8).
 
-Only the last line of a text can be cut, so all other lines of the corpus show what whole lines look like. From them come
+Only the end of a text can be cut, so everything before its last word shows how words go on. From all texts come
 
-* the vocabulary with, for words with a full stop, how often they end a line, kept as a trie: the table of its nodes (prefixes), with what ends there;
+* the vocabulary as a trie: a Spark table of its nodes, every prefix of every word, with whether a word ends there and how often that word was the end of a line without a mark
+  and how often it went on (with a mark, a blank and more, or letters); the same for kinds of words (names, numbers and so on);
 * the forms of list items and table rows (names and numbers left out), also as a trie, by words.
 
-A last line is closed when it ends with a mark (quotes and brackets closed after it, and no word that never ends a line before it). An open
-line of prose is cut by its missing mark alone, without trie or length, and so is a text that ends with a sign of omission or a broken character. An open list item or row is cut if its form is an inner
+A last line is closed when it ends with a mark (quotes and brackets closed after it, and no word that never ends a line before it). Of a line of prose without a mark
+the trie decides by its last word (``asked``): an unknown proper prefix of known words is cut, and so is a known word that in the corpus goes on (``GOES_ON`` of
+its places at least); for words the trie doesn't have, their kind decides in the same way. Without a vocabulary nothing of this is cut.
+A text that ends with a sign of omission or a broken character is cut. An open list item or row is cut if its form is an inner
 node of the trie of forms only, or if its final word is unknown and a proper prefix of known words; a reference without its number and an address without a host too. Scripts
 without marks are judged by the last letters: whether these ever end a unit.
 
 Lengths add what the words can't show: where at least ``LIMIT_SHARE`` of a source's different texts have one length and most of these are open, that length
 is a limit of the source, and open texts of that length are cut whatever their last line looks like.
 
-Vocabulary, forms and lengths are counted over all texts. Words and forms on a fixed share of all lines are handed to the tasks, at most 1 / share of
-them; the lengths stay in Spark and are joined.
+Vocabulary, forms and lengths are counted over all texts. The nodes of the vocabulary and the lengths stay in Spark and are joined; words and forms on a fixed share of all lines, at most 1 / share of
+them, are also handed to the tasks, for the forms.
 
 Edge cases: null, empty and blank texts are no cases and count for no rate. A null source is a source of its own. Copies are judged alike. White space at the end is left out, but counts for the
 length. Very long texts are read whole, though only their last line is judged. Repeated rows count as rows. Empty tables give no rows.
@@ -35,9 +38,14 @@ from pyspark.sql import functions as F
 from groundline.runtime import cut, spread
 
 WORD_SHARE, FORM_SHARE, MIN_SEEN = 1 / 50_000, 1 / 50_000, 3
+#: Number of the counts of kinds of words.
+CLASS = 3
 #: Different open texts of one source and length (a share of the source's different texts, and at least so many), and the part of the texts of that length that is open, that make a limit.
 LIMIT_SHARE, LIMIT_TEXTS, LIMIT_OPEN = 0.01, 4, 0.8
 
+#: Share of a word's places without a mark at which more follows, from which on it can't be an end; copies of a node so that a frequent last word meets in several tasks.
+GOES_ON, SALTS = 0.5, 16
+
 #: Signs put after a cut text.
 OMISSION = regex.compile(r"\s*(?:…|\.\.\.+|[\[(]\s*(?:…|\.\.\.+|more|truncated|continued|cut|mehr|suite|más|далее)\s*[\])]|�)+\s*$", regex.IGNORECASE)
 CLOSED = regex.compile(r"[.!?。！？।॥؟｡]+[\"'”’“»›」』)\]）】]*(?:[ \u00a0\u202f][»›])?$")
@@ -74,6 +82,21 @@ class Told(NamedTuple):
     forms: dict[str, bool]
     endings: dict[str, bool]  # last letters in scripts without marks -> they end units
     never_last: frozenset[str]
+    classes: frozenset[str]  # kinds of words that go on
+
+
+def class_of(word: str) -> str:
+    """The kind of a word: the script of its first letter with capital or not, digits, or the sign itself."""
+    c = word[:1]
+    if c.isdigit():
+        return "0"
+    return "W" if c.isupper() else "w" if c.islower() else "L" if c.isalpha() else f"sign {c}"
+
+
+def last_word(line: str) -> str:
+    """The last word of a line without the marks around it, or its last sign."""
+    last = line.split()[-1]
+    return last.strip(EDGES).rstrip(".") or last[-1]
 
 
 def trie(words: list[str], ends_of) -> dict[str, bool]:
@@ -125,7 +148,7 @@ def hash_of(text: str) -> int:
 
 
 def evidence(text: str, told: Told) -> str:
-    """cut, closed, or open (open: whole as far as its words show)."""
+    """cut, closed, open (whole as far as its words show), or ask (prose without a mark: its last word is to be looked up)."""
     t = text.rstrip()
     sign = OMISSION.search(t)
     if sign:
@@ -148,7 +171,7 @@ def evidence(text: str, told: Told) -> str:
         if bare and THAI.search(bare[-1]):
             ends = told.endings.get(bare[-5:], True)  # letters never seen are a name's
             return ("closed" if bare != line else "open") if ends and balanced(line) else "cut"
-        return "cut"
+        return "ask"
     if CLOSED.search(line) and kind == "item" and balanced(line):
         return "closed"
     last = line.split()[-1].strip(EDGES)
@@ -170,12 +193,12 @@ def evidence(text: str, told: Told) -> str:
     return "open"
 
 
-def learned(texts: DataFrame) -> Told:
-    """Vocabulary, forms and endings of all whole lines of ``texts`` (one column)."""
+def learned(texts: DataFrame) -> tuple[Told, DataFrame]:
+    """What the tasks are told of all texts (one column), and the words: key, n and ends."""
     sc = texts.sparkSession.sparkContext
 
-    def counted(count, share: float) -> list[tuple[int, str, int]]:
-        """(kind, key, n, ends) of the keys on at least ``share`` of all occurrences of their kind."""
+    def counted(count, share: float) -> tuple[list[tuple[int, str, int]], DataFrame]:
+        """(kind, key, n, ends) of the keys on at least ``share`` of all occurrences of their kind, and all of them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, ends = Counter(), Counter()
@@ -195,24 +218,33 @@ def learned(texts: DataFrame) -> Told:
             yield out()
 
         sums = spread(texts).mapInArrow(run, "kind int, key string, n long, ends long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-        common = cut(sums.where(F.col("n") >= MIN_SEEN))
+        common = cut(sums.where((F.col("n") >= MIN_SEEN) | (F.col("kind") == CLASS)))
         totals = {r.kind: r.total for r in common.groupBy("kind").agg(F.sum("n").alias("total")).collect()}  # one row a kind
         enough = F.lit(False)
         for kind, total in totals.items():
             enough = enough | (F.col("kind") == kind) & (F.col("n") >= total * share)
-        return [tuple(r) for r in common.where(enough).select("kind", "key", "n", "ends").collect()]
+        return [tuple(r) for r in common.where(enough | (F.col("kind") == CLASS)).select("kind", "key", "n", "ends").collect()], common
 
     def words(text: str, n: Counter, ends: Counter) -> None:
-        for line in whole_lines(text):
+        lines = [x.strip() for x in text.rstrip().split("\n") if x.strip()]
+        for no, line in enumerate(lines, 1):
             parts = line.split()
-            for i, w in enumerate(parts):
+            whole = no < len(lines)
+            stops = whole and kind_of(line) == "prose" and not CLOSED.search(line)
+            for i, w in enumerate(parts if whole else parts[:-1], 1):
                 bare = w.strip(EDGES)
-                if w[-1] == ".":
+                if whole and w[-1] == ".":
                     n[1, w] += 1
-                    ends[1, w] += i + 1 == len(parts)
+                    ends[1, w] += i == len(parts)
                     bare = bare.rstrip(".")
                 if bare and bare[0].isalpha():
                     n[0, bare] += 1
+                    ends[0, bare] += stops and i == len(parts)
+                kind = class_of(last_word(w))
+                n[CLASS, kind] += 1
+                ends[CLASS, kind] += stops and i == len(parts)
+            if not whole:
+                continue
             if THAI.search(line):
                 for i in range(4, len(line)):
                     if "฀" <= line[i] <= "๿":
@@ -220,7 +252,7 @@ def learned(texts: DataFrame) -> Told:
                         n[2, line[i - 4 : i + 1]] += 1
                         ends[2, line[i - 4 : i + 1]] += last
 
-    rows = counted(words, WORD_SHARE)
+    rows, table = counted(words, WORD_SHARE)
     vocabulary = trie([key for kind, key, *_ in rows if kind == 0], letters)
     never_last = frozenset(key for kind, key, n, ends in rows if kind == 1 and n >= 20 and ends < 0.002 * n)
     endings = {key: n < 30 or ends >= 0.03 * n for kind, key, n, ends in rows if kind == 2}
@@ -231,23 +263,51 @@ def learned(texts: DataFrame) -> Told:
             if kind_of(line) in ("item", "row"):
                 n[0, form_of(line, told.value)] += 1
 
-    found = counted(forms, FORM_SHARE)
-    return Told(vocabulary, trie([key for _, key, *_ in found], steps), endings, never_last)
+    found, _ = counted(forms, FORM_SHARE)
+    goes_on = frozenset(key for kind, key, n, ends in rows if kind == CLASS and ends < (1 - GOES_ON) * n)
+    return Told(vocabulary, trie([key for _, key, *_ in found], steps), endings, never_last, goes_on), table.where("kind = 0").select("key", "n", "ends")
+
+
+def asked(seen: DataFrame, words: DataFrame) -> DataFrame:
+    """``seen`` with the answers of the trie for the rows that ask for their last word: cut or open.
+
+    Only the nodes of words that are asked for are kept; each stands ``SALTS`` times, so that the rows with a frequent last word are divided.
+    """
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.struct(F.substring("key", F.lit(1), i).alias("word"), (i == F.length("key")).alias("whole"))))
+    nodes = words.select("n", "ends", prefix.alias("node")).groupBy("node.word").agg(F.sum(F.when(F.col("node.whole"), F.col("n"))).alias("n"), F.sum(F.when(F.col("node.whole"), F.col("ends"))).alias("ends"))
+    wanted = seen.where("evidence = 'ask'").select(F.col("last").alias("word")).distinct()
+    nodes = nodes.join(wanted, "word", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = F.col("n").isNull() | (F.col("ends") < (1 - GOES_ON) * F.col("n"))
+    nodes = nodes.select("word", "salt", on.alias("goes_on"))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).withColumn("word", F.when(F.col("evidence") == "ask", F.col("last")))
+    told = salted.join(nodes, ["word", "salt"], "left")
+    answer = F.when(F.coalesce("goes_on", "class_goes_on"), "cut").otherwise("open")
+    return told.withColumn("evidence", F.when(F.col("evidence") == "ask", answer).otherwise(F.col("evidence"))).drop("salt", "word", "last", "goes_on", "class_goes_on")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id_col, source and lost of every row with a text that is not blank."""
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source")).alias("row"), F.col(text_col).alias("text")).where(r"text RLIKE '(?U)\\S'")
-    told = docs.sparkSession.sparkContext.broadcast(learned(rows.select("text")))
+    learnt, words = learned(rows.select("text"))
+    told = docs.sparkSession.sparkContext.broadcast(learnt)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = told.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array(np.fromiter(map(len, texts), np.int32, len(texts))), pa.array([evidence(t, own) if t.strip() else "blank" for t in texts], pa.string()), pa.array([hash_of(t) for t in texts], pa.int64())], names=["row", "length", "evidence", "hash"])
-
-    seen = spread(rows).mapInArrow(run, f"row struct<id: {kind}, source: string>, length int, evidence string, hash long").where("evidence <> 'blank'")
+            judged = [evidence(t, own) if t.strip() else "blank" for t in texts]
+            last = [last_word(t) if e == "ask" else None for t, e in zip(texts, judged, strict=True)]
+            yield pa.record_batch(
+                [
+                    batch.column(0), pa.array(np.fromiter(map(len, texts), np.int32, len(texts))), pa.array(judged, pa.string()), pa.array([hash_of(t) for t in texts], pa.int64()),
+                    pa.array(last, pa.string()), pa.array([w is not None and class_of(w) in own.classes for w in last], pa.bool_()),
+                ],
+                names=["row", "length", "evidence", "hash", "last", "class_goes_on"],
+            )
+
+    seen = spread(rows).mapInArrow(run, f"row struct<id: {kind}, source: string>, length int, evidence string, hash long, last string, class_goes_on boolean").where("evidence <> 'blank'")
+    seen = asked(cut(seen), words)
     seen = cut(seen.select(F.col("row.id").alias(id_col), F.col("row.source").alias("source"), "length", "evidence", "hash"))
     different = seen.groupBy("source", "length", "evidence", "hash").agg(F.lit(1).alias("one"))
     per_source = different.groupBy("source").agg(F.count("*").alias("texts"))
