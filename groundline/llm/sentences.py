@@ -1,18 +1,21 @@
 """Sentence units across languages and scripts (problem 5).
 
 Every character of a line is tagged as boundary (the last of a unit) or inside by a linear-chain model with Viterbi decoding. A character
-that is no closing mark (with the quotes and brackets after it) and no blank between two Thai letters can only be inside, so the chain is
+that is no closing mark (with the quotes and brackets after it) and in Thai no place between two letters can only be inside, so the chains are
 decoded over the others; the last character of a line that is not blank is a boundary by definition.
 
 Nobody labelled the texts; the model is trained on what they show themselves:
 
 * the ends of lines are sure boundaries. For training, line ends are stripped: neighbouring lines are put together,
-  so a line end looks like any other place between sentences. In scripts without closing marks two lines are joined by a blank and only blanks are
-  places; training on text whose blanks are stripped, with all places between two letters, is not done (why it would or wouldn't help is not measured);
+  so a line end looks like any other place between sentences;
 * a mark before a small letter or after a word that never ends a line is surely inside.
 
 A mark in a quotation after which the sentence goes on is inside by definition.
 
+Thai has no marks. Its model (``train_thai``) is trained on text without blanks and line ends: every place between two Thai letters is tagged, and is a boundary where a
+blank between letters or a line end stood before. It knows the letters on both sides only. When it is decoded, the weight of a blank, counted in training, is
+added where the text has one; where it has none nothing can end (a rule of the texts: only a blank ends a Thai unit). ``thai_ends`` without that rule finds the boundaries of unbroken text.
+
 How often each word ends a line before a mark, begins a line, and stands on either side of a mark within a line is counted over all texts; words on at least
 ``WORD_SHARE`` of all marks are handed to the tasks, at most 1 / WORD_SHARE for each side.
 
@@ -38,11 +41,13 @@ from groundline.runtime import cut, spread
 
 #: Texts the model is trained on, about: those whose hash of the id is below a threshold.
 TRAIN_TEXTS = 6_000
+#: The same for texts with Thai letters, and the bound of what the letters at one place can tell.
+TRAIN_THAI, THAI_BOUND = 600, 5.0
 WORD_SHARE, MIN_SEEN = 1 / 20_000, 8
 
 CLOSERS, OPENERS = "\"'”’“»›」』)\\]）】", "\"'“„«‹「『(\\[（【¿¡‘"
 #: A mark with what closes after it. A full stop counts only before white space or an end, marks of the scripts without blanks always.
-MARK = regex.compile(rf"(?:[.!?…;]+[{CLOSERS}]*(?:[ \u00a0\u202f][»›])?(?=\s|\Z|[぀-ヿ一-鿿])|[。！？।॥؟｡]+[{CLOSERS}]*)|(?<=\p{{Thai}})[ \u00a0]+(?=\p{{Thai}})")
+MARK = regex.compile(rf"(?:[.!?…;]+[{CLOSERS}]*(?:[ \u00a0\u202f][»›])?(?=\s|\Z|[぀-ヿ一-鿿])|[。！？।॥؟｡]+[{CLOSERS}]*)")
 QUOTED = regex.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』")
 DIGITS = regex.compile(r"\p{Nd}+")
 WIDE, THAI = regex.compile(r"[぀-ヿ㐀-鿿]"), regex.compile(r"\p{Thai}")
@@ -70,10 +75,19 @@ class Place(NamedTuple):
     after: str
 
 
+class Thai(NamedTuple):
+    """The model of text without marks: weights of the letters on both sides, the weight of a blank, and the turns."""
+
+    weights: dict[str, float]
+    blank: float
+    turn: tuple[tuple[float, float], tuple[float, float]]
+
+
 class Model(NamedTuple):
     weights: dict[str, float]
     words: dict[str, tuple[int, int]]  # word before a mark: at the end of a line, within it; words after with a leading blank
     turn: tuple[tuple[float, float], tuple[float, float]]
+    thai: Thai
 
 
 def kind_of(after: str) -> str:
@@ -119,21 +133,14 @@ def places(line: str) -> list[Place]:
     """The places of a line that may be boundaries, its end left out."""
     out = []
     last = len(line.rstrip())
-    spans = rows = None
+    spans = None
     for m in MARK.finditer(line):
         start, end = m.span()
         mark = m.group()
         if end >= last:
             break
-        thai = mark[0] in " \u00a0"
         if ";" in mark and not (start and "Ͱ" <= line[start - 1] <= "Ͽ"):
             continue
-        if thai:
-            if rows is None:
-                rows = bool(ROW.search(line))
-            if not rows:
-                out.append(Place(start, "_", line[max(0, start - 4) : start], line[end : end + 4]))
-            continue
         if mark[0] == "." and start and "฀" <= line[start - 1] <= "๿":
             continue  # Thai sentences have no full stop; it ends abbreviations
         at = max(line.rfind(" ", 0, start), line.rfind("\u00a0", 0, start)) + 1
@@ -188,8 +195,6 @@ def sure(p: Place, words: dict[str, tuple[int, int]]) -> bool | None:
     """Whether a place within a line is surely a boundary (True), surely not (False), or neither (None)."""
     k = kind_of(p.after)
     w = plain(p.before, True)
-    if p.mark == "_":
-        return rate(words.get(" " + plain(p.after, False))) != "0"
     if k == "small" or k.startswith("sign") and p.mark[0] in ".…;":
         return False
     if p.mark[0] in "。！？।॥!?؟｡;":
@@ -220,8 +225,78 @@ def examples(texts: list[str], words: dict[str, tuple[int, int]]) -> Iterator[li
             yield [(p, v) for p, v in chain if v is not None]
 
 
-def train(texts: list[str], words: dict[str, tuple[int, int]], rounds: int = 60, l2: float = 1e-5) -> Model:
-    """Weights by logistic regression (AdaGrad), turns from the labels' counts."""
+def regression(index: dict[str, int], rows: list[int], owner: list[int], y: list[bool], prior: dict[str, float], rounds: int, l2: float) -> tuple[dict[str, float], float]:
+    """Logistic regression (AdaGrad): weights by feature, those near zero left out, and the bias."""
+    place, own, target = np.array(rows), np.array(owner), np.array(y, float)
+    w, b, seen, seen_b = np.array([prior.get(x, 0.0) for x in index]), 0.0, np.full(len(index), 1e-8), 1e-8
+    for _ in range(rounds):
+        e = 1 / (1 + np.exp(-(np.bincount(own, w[place], minlength=len(y)) + b))) - target
+        g = np.bincount(place, e[own], minlength=len(index)) / len(y) + l2 * w
+        seen += g * g
+        seen_b += e.mean() ** 2
+        w -= 0.5 * g / np.sqrt(seen)
+        b -= 0.5 * e.mean() / math.sqrt(seen_b)
+    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, float(b)
+
+
+def is_thai(c: str) -> bool:
+    return "\u0e01" <= c <= "\u0e3a" or "\u0e40" <= c <= "\u0e5b"
+
+
+def gaps(line: str) -> tuple[str, list[tuple[int, int, bool]]]:
+    """The line without blanks, and every place between two Thai letters of it: place there, end in the line, whether a blank stood in it."""
+    at = [i for i, c in enumerate(line) if c not in " \u00a0"]
+    bare = "".join(line[i] for i in at)
+    return bare, [(k, at[k] + 1, at[k + 1] > at[k] + 1) for k in range(len(at) - 1) if is_thai(bare[k]) and is_thai(bare[k + 1])]
+
+
+def letter_features(bare: str, k: int) -> list[str]:
+    """The letters before and after a place of text without blanks."""
+    left, right = bare[max(0, k - 4) : k + 1], bare[k + 1 : k + 6]
+    return [*(f"<{left[-n:]}" for n in range(1, 6)), *(f">{right[:n]}" for n in range(1, 6)), f"={left[-1:]}{right[:1]}", f"={left[-2:]}|{right[:2]}"]
+
+
+def train_thai(texts: list[str], rounds: int = 60, l2: float = 1e-5) -> Thai:
+    """The model of Thai from texts whose blanks and line ends are stripped."""
+    index: dict[str, int] = {}
+    rows, owner, y = [], [], []
+    turns, blanks = np.ones((2, 2)), 0
+    for text in texts:
+        lines = [x.strip() for x in text.split("\n") if THAI.search(x) and not ROW.search(x)]
+        bare, last = " ".join(lines), None
+        for k, end, blank in (found := gaps(bare))[1]:
+            f = [index.setdefault(x, len(index)) for x in letter_features(found[0], k)]
+            rows += f
+            owner += [len(y)] * len(f)
+            y.append(blank)
+            blanks += blank
+            if last is not None:
+                turns[int(last), int(blank)] += 1
+            last = blank
+    if not blanks:
+        return Thai({}, THAI_BOUND + 1, ((0.0, 0.0), (0.0, 0.0)))
+    weights, bias = regression(index, rows, owner, y, {}, rounds, l2)
+    p = turns.sum(0) / turns.sum()
+    t = np.log(turns / turns.sum(1, keepdims=True)) - np.log(p)
+    # a blank between letters stood at a boundary ``blanks`` times and inside never (counted as half a time)
+    return Thai(weights | {"b": bias}, math.log((blanks + 0.5) / 0.5) + THAI_BOUND, ((t[0, 0], t[0, 1]), (t[1, 0], t[1, 1])))
+
+
+def thai_ends(line: str, model: Thai, at_blanks: bool = True) -> list[int]:
+    """The boundaries between Thai letters of a line; with ``at_blanks`` only where a blank stands."""
+    bare, found = gaps(line)
+    if not found or at_blanks and not any(blank for *_, blank in found):
+        return []
+    get = model.weights.get
+    scores = []
+    for k, _, blank in found:
+        s = sum(get(f, 0.0) for f in letter_features(bare, k)) + get("b", 0.0)
+        scores.append(min(THAI_BOUND, max(-THAI_BOUND, s)) + model.blank if at_blanks and blank else -1e9 if at_blanks else s)
+    return [end for (_, end, _), b in zip(found, viterbi(scores, model.turn), strict=True) if b]
+
+
+def train(texts: list[str], words: dict[str, tuple[int, int]], thai: Thai, rounds: int = 60, l2: float = 1e-5) -> Model:
+    """Weights by logistic regression, turns from the labels' counts."""
     index: dict[str, int] = {}
     rows, owner, y = [], [], []
     turns = np.ones((2, 2))
@@ -236,21 +311,12 @@ def train(texts: list[str], words: dict[str, tuple[int, int]], rounds: int = 60,
                 turns[int(last), int(v)] += 1
             last = v
     if not y:
-        return Model(PRIOR | {"b": 1.0}, words, ((0.0, 0.0), (0.0, 0.0)))
-    place, own, target = np.array(rows), np.array(owner), np.array(y, float)
-    w, b, seen, seen_b = np.array([PRIOR.get(x, 0.0) for x in index]), 0.0, np.full(len(index), 1e-8), 1e-8
-    for _ in range(rounds):
-        e = 1 / (1 + np.exp(-(np.bincount(own, w[place], minlength=len(y)) + b))) - target
-        g = np.bincount(place, e[own], minlength=len(index)) / len(y) + l2 * w
-        seen += g * g
-        seen_b += e.mean() ** 2
-        w -= 0.5 * g / np.sqrt(seen)
-        b -= 0.5 * e.mean() / math.sqrt(seen_b)
+        return Model(PRIOR | {"b": 1.0}, words, ((0.0, 0.0), (0.0, 0.0)), thai)
+    weights, bias = regression(index, rows, owner, y, PRIOR, rounds, l2)
     p = np.array([turns[:, 0].sum(), turns[:, 1].sum()]) / turns.sum()
     t = np.log(turns / turns.sum(1, keepdims=True)) - np.log(p)
     t = np.clip(0.3 * t, -0.5, 0.5)  # the places' own features already tell most of it
-    weights = PRIOR | {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4} | {"b": float(b)}
-    return Model(weights, words, ((t[0, 0], t[0, 1]), (t[1, 0], t[1, 1])))
+    return Model(PRIOR | weights | {"b": bias}, words, ((t[0, 0], t[0, 1]), (t[1, 0], t[1, 1])), thai)
 
 
 class Tagger:
@@ -283,6 +349,8 @@ class Tagger:
                 own = places(line)
                 if own:
                     ends += [at + p.end for p, b in zip(own, viterbi([self.score(p) for p in own], self.model.turn), strict=True) if b]
+                if THAI.search(line) and not ROW.search(line):
+                    ends = sorted({*ends, *(at + e for e in thai_ends(line[:last], self.model.thai))})
                 ends.append(at + last)
             at += len(line) + 1
         return ends
@@ -352,10 +420,14 @@ def sentence_units(records: DataFrame) -> DataFrame:
     """rec_table, rec_id and end_pos of every unit of ``records`` (rec_table, rec_id, text)."""
     texts = records.where("text IS NOT NULL").select("text")
     words = counted_words(texts)
-    share = min(1.0, TRAIN_TEXTS / max(1, texts.count()))
-    chosen = F.shiftrightunsigned(F.xxhash64("rec_table", "rec_id"), 33) < int(share * 2**31)
-    sample = records.where("text IS NOT NULL").where(chosen).select("text").limit(2 * TRAIN_TEXTS).collect()
-    told = records.sparkSession.sparkContext.broadcast(train([r.text for r in sample], words))
+    thai = F.col("text").rlike(r"\p{IsThai}")
+    n, n_thai = texts.agg(F.count("*"), F.count_if(thai)).first()
+    draw = F.shiftrightunsigned(F.xxhash64("rec_table", "rec_id"), 33)
+    below = lambda most, of: draw < int(min(1.0, most / max(1, of)) * 2**31)
+    present = records.where("text IS NOT NULL")
+    sample = [r.text for r in present.where(below(TRAIN_TEXTS, n)).select("text").limit(2 * TRAIN_TEXTS).collect()]
+    marked = [r.text for r in present.where(thai & below(TRAIN_THAI, n_thai)).select("text").limit(2 * TRAIN_THAI).collect()]
+    told = records.sparkSession.sparkContext.broadcast(train(sample, words, train_thai(marked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(told.value)

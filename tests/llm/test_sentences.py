@@ -68,3 +68,26 @@ def test_viterbi_against_all_chains():
 
         best = max(itertools.product((False, True), repeat=n), key=total)
         assert abs(total(st.viterbi(s, t)) - total(best)) < 1e-9
+
+
+def test_thai_boundaries_of_unbroken_text_are_learned():
+    """Places between letters, learned from stripped text: held-out sentences are parted where they were put together."""
+    rng = random.Random(6)
+    names = ["สุขกา", "พรมา", "ลาดี", "บุญชัย", "แก้วทอง", "ราฟ้า"]
+    starts, acts, objects = ["สำนักงาน{}ระบุว่า", "ผู้ถือหน่วยจาก{}", "รายงานของ{}"], ["แสดง", "แก้ไข", "ยืนยัน", "อธิบาย"], ["ราคาของแต่ละหน่วย", "สัดส่วนเงินสด", "เวลาทำการของเคาน์เตอร์", "วันประชุมของผู้ดูแล"]
+    sentence = lambda: rng.choice(starts).format(rng.choice(names) + rng.choice(names)) + rng.choice(acts) + rng.choice(objects)
+    model = st.train_thai(["\n".join(" ".join(sentence() for _ in range(3)) for _ in range(2)) for _ in range(60)])
+    right = wrong = lost = 0
+    for _ in range(40):
+        parts = [sentence() for _ in range(4)]
+        want = {sum(map(len, parts[: i + 1])) for i in range(3)}
+        got = set(st.thai_ends("".join(parts), model, at_blanks=False))
+        right, wrong, lost = right + len(got & want), wrong + len(got - want), lost + len(want - got)
+    assert right >= 0.95 * (right + lost) and right >= 0.95 * (right + wrong), (right, wrong, lost)
+    line = " ".join(parts)
+    assert st.thai_ends(line, model) == [sum(map(len, parts[: i + 1])) + i for i in range(3)]
+    assert st.thai_ends("".join(parts), model) == [] and st.thai_ends("ราคา 12 ฉบับ", model) == []
+
+
+def test_thai_text_in_a_table_row_has_no_inner_end(spark):
+    assert tagged(spark, ["ระยะเวลา พรสุข | 12 | ราคา หน่วย", "ราคา หน่วย\nราคา"]) == {0: ["ระยะเวลา พรสุข | 12 | ราคา หน่วย"], 1: ["ราคา", "หน่วย", "ราคา"]}
