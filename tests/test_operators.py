@@ -41,6 +41,20 @@ def test_fallback_and_empty_sides(spark):
     assert search.top_k(q.limit(0), v).count() == 0 and search.top_k(q, v.limit(0)).count() == 0
 
 
+def test_blocks_that_meet_are_those_of_the_entity(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 10)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    v = spark.range(1000).selectExpr("id", "concat('e', id % 10) AS entity", "array(float(id), 1f) AS vector")
+    q = v.where("id % 100 IN (3, 4)")
+    key = F.struct(F.lit(False).alias("all"), F.col("entity").alias("entity")).alias("key")
+    a, b = search.cells(q.select("id", key, "vector"), v.select("id", key, "vector"))
+    met = a.select("key", "q_block", "v_block").distinct()
+    assert {r.key.entity for r in met.collect()} == {"e3", "e4"} and met.count() <= 2 * 3 * 10  # blocks of two entities of 100, not of 1000
+    assert b.select("id").distinct().count() == 200
+    groups = b.groupBy("key", "q_block", "v_block").count()
+    assert groups.count() >= met.count() > 2 and groups.agg(F.max("count")).first()[0] < 40
+
+
 def test_weak_reasons(spark):
     hits = [(1, 1, 5, 0.9, "general", False), (1, 2, 6, 0.8, "A", False), (1, 3, 7, 0.7, "B", False), (2, 1, 5, 0.9, "A", False), (2, 2, 6, 0.8, "B", False), (3, 1, 5, 0.4, "A", False), (4, 1, 5, 0.9, "B", True), (5, 1, 5, 0.9, "general", False)]
     h = spark.createDataFrame(hits, "qid long, rank int, id long, similarity double, entity string, fell_back boolean")
