@@ -198,12 +198,21 @@ def learned(texts: DataFrame) -> tuple[Told, DataFrame]:
     sc = texts.sparkSession.sparkContext
 
     def counted(count, share: float) -> tuple[list[tuple[int, str, int]], DataFrame]:
-        """(kind, key, n, ends) of the keys on at least ``share`` of all occurrences of their kind, and all of them."""
+        """(kind, key, n, ends) of the keys on at least ``share`` of all occurrences of their kind, and all of them. Tokens become words, words with a full stop and kinds."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, ends = Counter(), Counter()
+            n, ends, tokens = Counter(), Counter(), Counter()
 
             def out() -> pa.RecordBatch:
+                for w, k in tokens.items():
+                    bare = w.strip(EDGES)
+                    if w[-1] == ".":
+                        n[1, w] += k
+                        bare = bare.rstrip(".")
+                    if bare and bare[0].isalpha():
+                        n[0, bare] += k
+                    n[CLASS, class_of(bare or w[-1])] += k
+                tokens.clear()
                 keys = list(n)
                 batch = pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["kind", "key", "n", "ends"])
                 n.clear()
@@ -212,8 +221,8 @@ def learned(texts: DataFrame) -> tuple[Told, DataFrame]:
 
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    count(text, n, ends)
-                if len(n) > 400_000:
+                    count(text, n, ends, tokens)
+                if len(n) + len(tokens) > 400_000:
                     yield out()
             yield out()
 
@@ -225,26 +234,20 @@ def learned(texts: DataFrame) -> tuple[Told, DataFrame]:
             enough = enough | (F.col("kind") == kind) & (F.col("n") >= total * share)
         return [tuple(r) for r in common.where(enough | (F.col("kind") == CLASS)).select("kind", "key", "n", "ends").collect()], common
 
-    def words(text: str, n: Counter, ends: Counter) -> None:
+    def words(text: str, n: Counter, ends: Counter, tokens: Counter) -> None:
         lines = [x.strip() for x in text.rstrip().split("\n") if x.strip()]
-        for no, line in enumerate(lines, 1):
+        for line in lines[-1:]:
+            tokens.update(line.split()[:-1])
+        for line in lines[:-1]:
             parts = line.split()
-            whole = no < len(lines)
-            stops = whole and kind_of(line) == "prose" and not CLOSED.search(line)
-            for i, w in enumerate(parts if whole else parts[:-1], 1):
-                bare = w.strip(EDGES)
-                if whole and w[-1] == ".":
-                    n[1, w] += 1
-                    ends[1, w] += i == len(parts)
-                    bare = bare.rstrip(".")
-                if bare and bare[0].isalpha():
-                    n[0, bare] += 1
-                    ends[0, bare] += stops and i == len(parts)
-                kind = class_of(last_word(w))
-                n[CLASS, kind] += 1
-                ends[CLASS, kind] += stops and i == len(parts)
-            if not whole:
-                continue
+            tokens.update(parts)
+            last = parts[-1]
+            if last[-1] == ".":
+                ends[1, last] += 1
+            elif kind_of(line) == "prose" and not CLOSED.search(line):
+                bare = last.strip(EDGES)
+                ends[0, bare] += 1
+                ends[CLASS, class_of(bare or last[-1])] += 1
             if THAI.search(line):
                 for i in range(4, len(line)):
                     if "฀" <= line[i] <= "๿":
@@ -258,7 +261,7 @@ def learned(texts: DataFrame) -> tuple[Told, DataFrame]:
     endings = {key: n < 30 or ends >= 0.03 * n for kind, key, n, ends in rows if kind == 2}
     told = sc.broadcast(vocabulary)
 
-    def forms(text: str, n: Counter, ends: Counter) -> None:
+    def forms(text: str, n: Counter, ends: Counter, tokens: Counter) -> None:
         for line in whole_lines(text):
             if kind_of(line) in ("item", "row"):
                 n[0, form_of(line, told.value)] += 1
