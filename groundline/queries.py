@@ -440,7 +440,7 @@ def chunk_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").select("id", text.overlap_tail(F.col("text")).alias("tail"))
+    return table(spark, sf_dir, "chunks").select("id", chunking.trim_partial_row(text.overlap_tail(F.col("text"))).alias("tail"))
 
 
 _TITLE = r"regexp_extract(line, '^#{1,6}\s+(\S.*?)\s*$', 1)"
@@ -467,7 +467,7 @@ def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' texts in chunks of 400 to 512 characters with their section, number and count."""
+    """The pages' texts in chunks of at most 512 characters with their section, number and count; chunks under 400 take what fits from the next."""
     return chunking.chunked(docs.typed(table(spark, sf_dir, "page_docs")), "pd_id", "text", "scheme_name")
 
 

@@ -207,3 +207,40 @@ def test_append_of_grown_pages(spark):
     assert len(ids) == made.count() > 3
     first = made.where("chunk_index = 0").select("id")
     assert {r.id for r in index.to_append(made, first).collect()} == ids - {first.first().id}
+
+
+def test_short_chunks_take_what_fits_from_the_next():
+    pack = chunking.Packer("E", size=300, least=200, overlap=0)
+    text = "\n".join(["# A", "a" * 120, "", "a" * 150, "", "# B", "b" * 30, "", "b" * 200, "", "# C", "c" * 10])
+    # both "a" pieces fit (272 of 293 characters), both "b" pieces too, then 200 are reached and the next heading cuts
+    assert pack.chunks(text) == [("A", "E | A\n" + "a" * 120 + "\n\n" + "a" * 150), ("B", "E | B\n" + "b" * 30 + "\n\n" + "b" * 200), ("C", "E | C\n" + "c" * 10)]
+    # greedy packing leaves 150 characters alone because the next block, of two pieces, begins another chunk; its first piece still fits
+    parts = [chunking.Group.of([("A", "a" * 150)]), chunking.Group.of([("B", "b" * 100), ("B", "b" * 180)]), chunking.Group.of([("C", "c" * 20)])]
+    assert [g.items for g in pack.filled(parts)] == [[("A", "a" * 150), ("B", "b" * 100)], [("B", "b" * 180), ("C", "c" * 20)]]
+    for n in range(1, 30):
+        many = pack.chunks("\n\n".join(f"# S{i}\n" + "x" * (7 * i % 90 + 5) for i in range(n)))
+        assert all(len(t) <= 300 for _, t in many)
+        # a chunk under the least size could not take the first piece of the next
+        for (s, t), (s2, t2) in zip(many, many[1:], strict=False):
+            body, piece = t.split("\n", 1)[1], t2.split("\n", 1)[1].split("\n\n")[0]
+            assert len(body) >= 200 or len(body) + 2 + len(f"## {s2}") + 2 + len(piece) > pack.room(s)
+
+
+def test_group_lengths_are_those_of_the_bodies():
+    g = chunking.Group("A")
+    for i, section in enumerate("AABBCA"):
+        g.add(section, "p" * i)
+        assert g.length == len(g.body())
+
+
+def test_partial_rows_of_the_overlap_go():
+    rows = "1% |\n| Exit load | 1% |\n| Fee | 2% |"
+    assert chunking.whole_rows("| " + rows) == "| Exit load | 1% |\n| Fee | 2% |"
+    assert chunking.whole_rows("prose " + rows) == "prose " + rows
+
+
+def test_chunk_sizes_of_the_pages(spark):
+    pages = spark.createDataFrame([(i, "\n\n".join(f"# Part {j}\n" + "Word and more. " * (j % 7 + 1) for j in range(40)), "Fund") for i in range(5)], "d long, text string, entity string")
+    rows = chunking.chunked(pages, "d", "text", "entity").collect()
+    sizes = [len(r.text) for r in rows if r.chunk_index + 1 < r.chunk_count]
+    assert max(sizes) <= 512 and sum(n < 400 for n in sizes) <= 0.1 * len(sizes)
