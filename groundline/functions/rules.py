@@ -23,7 +23,14 @@ INTENTS = (
     ("advice", r"(?i:should (?:i|we|one)|recommend|suggest|advise|(?:good|right|best) time to (?:buy|invest|sell)|worth (?:buying|investing)|best (?:fund|scheme)s?|can i (?:buy|sell|invest))"),
     ("returns", r"(?i:(?:best|highest|lowest|compare|predict|forecast|expected|future|guaranteed)[^.?]*returns?|(?:will|would|could) (?:i|we|it|they) (?:get|earn|make|gain))"),
 )
-DECLINED = r"(?i:do(?:n'?t| not) know|could not find|no (?:information|data|mention|details?) |not (?:available|mentioned|specified|stated|found|provided)|cannot (?:be )?(?:determin|answer|find|provide|tell)|unable to|insufficient|does not (?:contain|include|mention|provide|answer))"
+#: Own wording: a reply declines when it denies a verb of knowing or telling, says that something is not there, or names missing data.
+_DENIED = r"(?:do(?:es)? not|don'?t|doesn'?t|did(?: not|n'?t)|can ?not|can'?t|could(?: not|n'?t)|(?:un|not )able to)"
+DECLINED = (
+    rf"(?i:{_DENIED} (?:[a-z]+ )?(?:know|find|locate|tell|say|answer|determine|confirm|contain|include|mention|state|cover|provide)"
+    r"|(?:is|are|was|were)(?: not|n'?t) (?:[a-z]+ )?(?:available|mentioned|stated|specified|given|found|provided|covered|in the context)"
+    r"|(?:there (?:is|are) no|no|not enough|insufficient) (?:[a-z]+ )?(?:information|data|details?|mention|figures?|answer)"
+    r"|^not (?:available|mentioned|specified|stated|found|provided)|insufficient)"
+)
 SECRET = r"(?:sk-|gsk_|ghp_|xox[bp]-|AIza|hf_|AKIA)[0-9A-Za-z_-]{16,}"
 
 

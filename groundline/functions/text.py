@@ -36,16 +36,25 @@ def entity_key_sql(name: str) -> str:
     return f"trim(regexp_replace(lower({display_name_sql(name)}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+', ' ', 'g'))"
 
 
+#: Lines, in lower case, that belong to a page's interface and not to its content.
+CHROME = (
+    "skip to main content", "skip to content", "main content", "compare", "education", "view details", "read more", "read more less", "load more",
+    "more details are loading", "calculators", "watch", "learn", "search", "home", "next", "previous", "back", "menu", "all", "apply", "reset", "clear",
+    "invest now", "know more", "view all", "show more", "i am ready to invest", "get started", "mr.", "ms.", "mrs.", "dr.", "disclaimer", "terms of use",
+    "privacy notice", "contact us", "about amfi", "important updates",
+)
+
+
 def clean_lines(text: Column) -> Column:
-    """One blank for runs of blanks, lines stripped, blank lines dropped."""
+    """One blank for runs of blanks, lines stripped, blank lines and lines of the interface dropped."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     stripped = F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t\u00A0]+", " ")))
-    return F.array_join(F.filter(stripped, lambda x: x != ""), "\n")
+    return F.array_join(F.filter(stripped, lambda x: (x != "") & ~F.lower(x).isin(*CHROME)), "\n")
 
 
 def clean_lines_sql(text: str) -> str:
     line = strip_sql("regexp_replace(x, '[ \\t\\x{00A0}]+', ' ', 'g')")
-    return f"array_to_string([y FOR y IN [{line} FOR x IN str_split(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), chr(10))] IF y <> ''], chr(10))"
+    return f"array_to_string([y FOR y IN [{line} FOR x IN str_split(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), chr(10))] IF y <> '' AND lower(y) NOT IN ({', '.join(repr(c) for c in CHROME)})], chr(10))"
 
 
 def words(text: Column) -> Column:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.functions.text import strip
 from groundline.operators import chunking
-from groundline.runtime import spread
+from groundline.runtime import cut, spread
 
 DIMENSIONS = 64
 
@@ -47,10 +48,22 @@ def write(chunks: DataFrame, path: str, mode: str = "overwrite") -> int:
     return c.rows
 
 
+class MissingIndex(FileNotFoundError):
+    """There is no index at the path."""
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The index at ``path``; MissingIndex if there is none. A blank entity is an empty string."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise MissingIndex(path) from e
+    return rows.withColumn("entity", F.coalesce("entity", F.lit("")))
+
+
 def append(chunks: DataFrame, path: str) -> int:
     """Append the chunks whose id the index does not have; the number appended."""
-    spark: SparkSession = chunks.sparkSession
-    new = to_append(chunks, spark.read.parquet(path).select("id"))
+    new = cut(to_append(chunks, opened(chunks.sparkSession, path).select("id")))  # what is read from the index is read before it is written
     return 0 if new.isEmpty() else write(new, path, "append")
 
 

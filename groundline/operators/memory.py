@@ -18,8 +18,12 @@ def entities(sources: DataFrame) -> DataFrame:
     return named.groupBy("alias").agg(F.max("entity").alias("entity"))
 
 
-def named_entities(texts: DataFrame, aliases: DataFrame, keys: list[str], text_col: str = "text", longest: int = 6) -> DataFrame:
-    """keys, alias and entity, once for each alias whose words stand in the text: runs of words joined with the aliases by equality."""
+def named_entities(texts: DataFrame, aliases: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, alias and entity, once for each alias whose words stand in the text: runs of words joined with the aliases by equality.
+
+    Runs are as long as the longest alias, which is looked up first.
+    """
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     runs = texts.where(F.col(text_col).isNotNull()).select(*keys, F.explode(F.array_distinct(word_runs(F.col(text_col), longest))).alias("alias"))
     return runs.join(aliases, "alias").select(*keys, "alias", "entity").distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from groundline.functions import rules, text
 from groundline.operators import answers, assemble, chunking, index, memory, search
 from groundline.plans import pipeline
-from groundline.runtime import table
+from groundline.runtime import shared_folder, table
 from groundline.sources import documents as docs
+from groundline.sources import html
 from groundline.streaming import turns as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,23 @@ def query(sql: str | None = None):
     return register
 
 
+#: Expressions, the same in Spark and DuckDB, that put into whole columns what the tables lack, so that every rule meets cases and rows without any.
+PLANTED = {
+    "personal": "text || CASE doc_id % 9 WHEN 0 THEN ' Write to a.b@example.org.' WHEN 1 THEN ' PAN ABCDE1234F.' WHEN 2 THEN ' Call 9876543210 or +91 98765 43210.' WHEN 3 THEN ' The OTP is 123456.' WHEN 4 THEN ' folio no. 12345678' WHEN 5 THEN ' 1234 5678 9012' WHEN 6 THEN ' x@y.example,9876543210' ELSE '' END",
+    "secret": "text || CASE doc_id % 11 WHEN 0 THEN ' key ghp_0123456789abcdefghij' WHEN 5 THEN ' sk-ABCDEFGHIJKLMNOPQRSTUV sk-short' ELSE '' END",
+    "question": "question || CASE answer_id % 6 WHEN 0 THEN ' Should I invest?' WHEN 1 THEN ' My PAN is ABCDE1234F.' WHEN 2 THEN ' Which has the best returns?' ELSE '' END",
+    "turn": "text || CASE WHEN conv_id % 3 = 0 AND turn % 4 = 1 THEN ' call 9876543210' ELSE '' END",
+    "long": "CASE WHEN length(text) > 1500 THEN repeat(text, 150) ELSE text END",
+    "rows": "repeat(text || chr(10), 12)",
+    "cut_row": "'| ' || coalesce(section, '') || ' |' || chr(10) || '| ' || coalesce(section, '') || ' | ' || coalesce(doc_type, '') || ' |' || chr(10) || '| fetched | ' || coalesce(fetched_at, '') || ' |' || chr(10) || text",
+    "citation": "CASE WHEN answer_id % 10 = 3 THEN coalesce(nullif(source_url, ''), 'http://planted.example/') || 'x' ELSE source_url END",
+}
+
+
+def planted(rows: DataFrame, column: str, case: str) -> DataFrame:
+    return rows.withColumn(column, F.expr(PLANTED[case]))
+
+
 # Sources and documents
 
 
@@ -65,9 +84,9 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "page_docs").where("text IS NOT NULL").select("pd_id", text.clean_lines(F.col("text")).alias("text"))
 
 
-@query("SELECT pd_id, CAST(least(length(text), 200000) AS INTEGER) AS n_chars, md5(substr(text, 1, 200000)) AS digest FROM page_docs WHERE text IS NOT NULL AND trim(text) <> ''")
+@query(f"SELECT pd_id, CAST(least(length(text), 200000) AS INTEGER) AS n_chars, md5(substr(text, 1, 200000)) AS digest FROM (SELECT pd_id, {PLANTED['long']} AS text FROM page_docs) WHERE text IS NOT NULL AND trim(text) <> ''")
 def doc_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.truncated(table(spark, sf_dir, "page_docs")).select("pd_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return docs.truncated(planted(table(spark, sf_dir, "page_docs"), "text", "long")).select("pd_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(f"SELECT pd_id, CASE WHEN {text.strip_sql('text')} = '' THEN 'no text' ELSE 'no source' END AS reason FROM page_docs WHERE {text.strip_sql('text')} = '' OR {text.strip_sql(chr(109) + 'etadata[' + chr(39) + 'source_url' + chr(39) + ']')} = ''")
@@ -81,10 +100,52 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.typed(table(spark, sf_dir, "page_docs")).groupBy("doc_type").agg(F.count("*").alias("documents"), F.coalesce(F.sum(n), F.lit(0)).alias("chars"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
-@query(f"SELECT coalesce(source, '') AS source, CAST(sum(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, {rules.literal(rules.SECRET)})) END) AS BIGINT) AS secrets, count(*) AS documents FROM documents GROUP BY 1")
+@query(f"SELECT coalesce(source, '') AS source, CAST(sum(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, {rules.literal(rules.SECRET)})) END) AS BIGINT) AS secrets, count(*) AS documents FROM (SELECT source, {PLANTED['secret']} AS text FROM documents) GROUP BY 1")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce(F.regexp_count("text", F.lit(rules.SECRET)), F.lit(0)).cast("long")
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(n).alias("secrets"), F.count("*").alias("documents"))
+    return planted(table(spark, sf_dir, "documents"), "text", "secret").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(n).alias("secrets"), F.count("*").alias("documents"))
+
+
+# Pages in HTML: made from the pages' lines, short ones as headings, rows as table rows, framed by what pages have around their content
+
+_HEAD_LINE = "^[^#.|:<>&]{3,60}$"
+
+
+def _as_html(rows: DataFrame) -> DataFrame:
+    esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = lambda x: F.concat(F.lit("<table><tr><td>"), F.replace(esc(x), F.lit(" | "), F.lit("</td><td>")), F.lit("</td></tr></table>"))
+    word = lambda x: F.concat(F.lit("<p><b>"), F.left(esc(F.left(x, F.lit(1))), F.lit(9)), F.lit("</b>"), esc(F.substring(x, 2, 1_000_000)), F.lit("<p class='share-bar'>Share</p>"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(x.contains(" | "), row(x)).when(x.rlike(_HEAD_LINE), F.concat(F.lit("<h2>"), x, F.lit("</h2>"))).otherwise(word(x)))
+    title = esc(F.coalesce(F.col("metadata")["scheme_name"], F.lit("")))
+    page = F.concat(F.lit("<html><head><title>"), title, F.lit("</title><style>p {}</style></head><body><nav><li>Home<li>Funds</nav><div role='menu'>All funds</div>"), F.array_join(lines, ""), F.lit("<footer>Terms</footer></body></html>"))
+    return rows.where("text IS NOT NULL").select("pd_id", page.alias("html"))
+
+
+_SPACED = f"trim(regexp_replace(x, '[{text.WHITE}\\x{{001C}}-\\x{{001F}}]+', ' ', 'g'))"
+_CELLS = f"array_to_string([c FOR c IN [{_SPACED} FOR x IN str_split(l, ' | ')] IF c <> ''], ' | ')"
+_PAGE_LINES = f"""t AS (SELECT pd_id, nullif({_SPACED.replace('x,', "coalesce(metadata['scheme_name'], ''),", 1)}, '') AS title, str_split(text, chr(10)) AS lines FROM page_docs WHERE text IS NOT NULL),
+h AS (SELECT pd_id, title, [CASE WHEN contains(l, ' | ') THEN {_CELLS} WHEN regexp_matches(l, '{_HEAD_LINE}') THEN CASE WHEN {_SPACED.replace('x,', 'l,', 1)} = '' THEN '' ELSE '## ' || {_SPACED.replace('x,', 'l,', 1)} END ELSE {_SPACED.replace('x,', 'l,', 1)} END FOR l IN lines] AS lines FROM t)"""
+
+
+_WHOLE = "coalesce('# ' || title || chr(10), '') || array_to_string(lines, chr(10))"
+
+
+@query(f"WITH {_PAGE_LINES} SELECT pd_id, {text.clean_lines_sql(_WHOLE)} AS text FROM h")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.with_text(_as_html(table(spark, sf_dir, "page_docs"))).select("pd_id", "text")
+
+
+@query(f"WITH {_PAGE_LINES}, r AS (SELECT pd_id, unnest(lines) AS row FROM h) SELECT row, count(*) AS pages FROM (SELECT DISTINCT pd_id, row FROM r WHERE contains(row, ' | ')) GROUP BY row")
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the pages' tables, and on how many pages each stands."""
+    rows = html_text(spark, sf_dir).select("pd_id", F.explode(F.split("text", "\n")).alias("row")).where("contains(row, ' | ')")
+    return rows.distinct().groupBy("row").agg(F.count("*").alias("pages"))
+
+
+@query(f"WITH {_PAGE_LINES}, r AS (SELECT pd_id, unnest([l FOR l IN lines IF NOT contains(l, ' | ') AND regexp_matches(l, '{_HEAD_LINE}')]) AS heading FROM t) SELECT pd_id, count(*) AS headings, min(length(trim(heading))) AS shortest FROM r GROUP BY pd_id")
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _as_html(table(spark, sf_dir, "page_docs")).select("pd_id", F.explode(html.headings(F.col("html"))).alias("h"))
+    return found.groupBy("pd_id").agg(F.count("*").alias("headings"), F.min(F.length("h.text")).cast("long").alias("shortest"))
 
 
 # Index
@@ -95,10 +156,12 @@ def chunk_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", index.chunk_id(F.col("source_url"), F.col("chunk_index")).alias("made_id"))
 
 
-@query("SELECT made_id, count(*) AS n, min(id) AS first_id FROM (SELECT id, substr(sha1(coalesce(source_url, '')), 1, 8) || '-' || chunk_index AS made_id FROM chunks) GROUP BY made_id HAVING count(*) > 1")
+@query("SELECT made_id, count(*) AS n, min(id) AS first_id FROM (SELECT id, substr(sha1(coalesce(source_url, '')), 1, 8) || '-' || chunk_index AS made_id FROM chunks UNION ALL SELECT 'page ' || pd_id, substr(sha1(coalesce(metadata['source_url'], '')), 1, 8) || '-0' FROM page_docs) GROUP BY made_id HAVING count(*) > 1")
 def id_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that clash among the chunks of the index and the first chunks of the pages."""
     made = table(spark, sf_dir, "chunks").select("id", index.chunk_id(F.col("source_url"), F.col("chunk_index")).alias("made_id"))
-    return made.groupBy("made_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    pages = table(spark, sf_dir, "page_docs").select(F.concat(F.lit("page "), F.col("pd_id").cast("string")).alias("id"), index.chunk_id(F.col("metadata")["source_url"], F.lit("0")).alias("made_id"))
+    return made.unionByName(pages).groupBy("made_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 @query(f"SELECT pd_id FROM page_docs WHERE {text.strip_sql(chr(109) + 'etadata[' + chr(39) + 'source_url' + chr(39) + ']')} = ''")
@@ -144,6 +207,21 @@ def index_append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.to_append(made, have)
 
 
+_USABLE = "FROM chunks WHERE coalesce(trim(source_url), '') <> '' AND embedding IS NOT NULL"
+
+
+@query(f"SELECT coalesce(scheme_name, '') AS entity, count(*) AS chunks, count_if(chunk_index = '0') AS first_chunks, round(sum(sqrt(list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])]))), 2) AS norms {_USABLE} GROUP BY 1")
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written with the first chunk of each page, grown by all chunks (those it has are left out), and opened again."""
+    rows = table(spark, sf_dir, "chunks").where("coalesce(trim(source_url), '') <> '' AND embedding IS NOT NULL")
+    path = f"{shared_folder(spark)}/index_{uuid.uuid4().hex}"
+    index.write(rows.where("chunk_index = '0'"), path)
+    index.append(rows, path)
+    index.append(rows, path)
+    n = index.opened(spark, path).groupBy("entity").agg(F.count("*").alias("chunks"), F.count_if(F.col("chunk_index") == "0").alias("first_chunks"), F.round(F.sum("norm"), 2).alias("norms"))
+    return n
+
+
 @query()
 def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.embedded(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -296,41 +374,56 @@ def topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Guards
 
-_DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
+_DOCS = f"(SELECT doc_id, {PLANTED['personal']} AS text FROM documents WHERE text IS NOT NULL)"
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "text", "personal")
+
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort({rules.matches_sql('text', rules.PERSONAL)}), ',') AS kinds FROM {_DOCS} WHERE len({rules.matches_sql('text', rules.PERSONAL)}) > 0")
 def pii_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.matches(F.col("text"), rules.PERSONAL)
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.array_sort(found), ",").alias("kinds")).where("kinds <> ''")
+    return _personal(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(found), ",").alias("kinds")).where("kinds <> ''")
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT unnest({rules.matches_sql('text', rules.PERSONAL)}) AS kind FROM {_DOCS}) GROUP BY kind")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.explode(rules.matches(F.col("text"), rules.PERSONAL)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return _personal(spark, sf_dir).select(F.explode(rules.matches(F.col("text"), rules.PERSONAL)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, {rules.redact_sql('text')} AS text FROM {_DOCS}")
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", rules.redact(F.col("text")).alias("text"))
+    return _personal(spark, sf_dir).select("doc_id", rules.redact(F.col("text")).alias("text"))
+
 
+_QUESTIONS = f"(SELECT answer_id, mode, text, source_url, last_updated, scheme_name, {PLANTED['question']} AS question FROM answers)"
 
-@query(f"SELECT answer_id, {rules.verdict_sql('question')} AS verdict FROM answers")
+
+@query(f"SELECT answer_id, {rules.verdict_sql('question')} AS verdict FROM {_QUESTIONS}")
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "answers").select("answer_id", rules.verdict(F.col("question")).alias("verdict"))
+    return planted(table(spark, sf_dir, "answers"), "question", "question").select("answer_id", rules.verdict(F.col("question")).alias("verdict"))
+
 
+_GUARDED = ("mode", "text", "source_url", "last_updated", "scheme_name", "reason")
 
-@query(f"SELECT {rules.verdict_sql('question')} AS verdict, mode, count(*) AS n FROM answers GROUP BY 1, 2")
+
+@query(f"SELECT answer_id, to_json(struct_pack(mode := CASE WHEN v = 'allow' THEN coalesce(mode, '') ELSE 'refuse' END, " + ", ".join(f"{c} := CASE WHEN v = 'allow' THEN coalesce({c}, '') ELSE '' END" for c in _GUARDED[1:-1]) + f", reason := CASE WHEN v = 'allow' THEN '' ELSE v END)) AS payload FROM (SELECT *, {rules.verdict_sql('question')} AS v FROM {_QUESTIONS})")
 def guard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "answers").groupBy(rules.verdict(F.col("question")).alias("verdict"), "mode").agg(F.count("*").alias("n"))
+    """The payload after the guard: what is blocked is a refusal with the verdict for its reason, without text, citation and date; the rest passes."""
+    return answers.guarded(planted(table(spark, sf_dir, "answers"), "question", "question"), rules.verdict(F.col("question"))).select("answer_id", answers.payload(_GUARDED).alias("payload"))
 
 
 _BAD = f"mode = 'refuse' AND (coalesce(trim(source_url), '') <> '' OR coalesce(trim(last_updated), '') <> '' OR coalesce(reason, '') = '') OR mode = 'fact' AND {text.strip_sql('source_url')} = ''"
 
 
-@query(f"SELECT answer_id, mode FROM answers WHERE {_BAD}")
+_CITED = f"(SELECT answer_id, mode, reason, last_updated, {PLANTED['citation']} AS source_url FROM answers)"
+
+
+@query(f"SELECT answer_id, mode FROM {_CITED} WHERE {_BAD}")
 def refusal_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.broken(table(spark, sf_dir, "answers")).select("answer_id", "mode")
+    return answers.broken(planted(table(spark, sf_dir, "answers"), "source_url", "citation")).select("answer_id", "mode")
 
 
 @query(f"SELECT scheme_name, {text.display_name_sql('scheme_name')} AS display_name, count(*) AS n FROM chunks GROUP BY 1, 2")
@@ -350,7 +443,7 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALIAS = f"al AS (SELECT alias, max(entity) AS entity FROM (SELECT {text.entity_key_sql('scheme_name')} AS alias, {text.display_name_sql('scheme_name')} AS entity FROM sources WHERE scheme_name IS NOT NULL) WHERE alias NOT IN ('', 'general') GROUP BY alias)"
 _TURNS = f"u AS (SELECT DISTINCT conv_id, turn, {text.strip_sql('text')} AS text FROM chat_turns WHERE role = 'user')"
-_FOUND = "e AS (SELECT DISTINCT conv_id, turn, text, alias, entity FROM (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}]+'), ' ') || ' ' AS said FROM u) JOIN al ON contains(said, ' ' || alias || ' ') WHERE len(str_split(alias, ' ')) <= 6)"
+_FOUND = "e AS (SELECT DISTINCT conv_id, turn, text, alias, entity FROM (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}]+'), ' ') || ' ' AS said FROM u) JOIN al ON contains(said, ' ' || alias || ' '))"
 
 
 @query(f"WITH {_ALIAS}, {_TURNS}, {_FOUND} SELECT conv_id, turn, array_to_string(list_sort(list(DISTINCT entity)), ', ') AS entities FROM e GROUP BY conv_id, turn")
@@ -367,9 +460,13 @@ def history_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = " AND ".join(f"NOT regexp_matches(text, {rules.alone_sql(p)})" for _, p in rules.PERSONAL)
 
 
-@query(f"WITH {_TURNS} SELECT conv_id, turn, text, CAST(back AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS back FROM u WHERE text <> '' AND {_CLEAN}) WHERE back <= 10")
+_PLANTED_TURNS = f"u AS (SELECT DISTINCT conv_id, turn, {text.strip_sql('text')} AS text FROM (SELECT conv_id, turn, role, {PLANTED['turn']} AS text FROM chat_turns) WHERE role = 'user')"
+
+
+@query(f"WITH {_PLANTED_TURNS} SELECT conv_id, turn, text, CAST(back AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS back FROM u WHERE text <> '' AND {_CLEAN}) WHERE back <= 4")
 def memory_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.screened(table(spark, sf_dir, "chat_turns")).select("conv_id", "turn", "text", "back")
+    """The last four turns without personal data."""
+    return memory.screened(planted(table(spark, sf_dir, "chat_turns"), "text", "turn"), 4).select("conv_id", "turn", "text", "back")
 
 
 _RESOLVED = f"""{_ALIAS}, {_TURNS}, {_FOUND}, o AS (SELECT u.conv_id, u.turn, u.text, list_sort(list(DISTINCT entity) FILTER (WHERE entity IS NOT NULL)) AS own FROM u LEFT JOIN e USING (conv_id, turn, text) GROUP BY ALL),
@@ -416,10 +513,10 @@ def _packed(column: Column) -> Column:
     return F.array_join(column, "\x1e")
 
 
-@query(f"SELECT doc_id, {text.pack_sql('rows', '512', chr(10))} AS pieces FROM (SELECT doc_id, list_filter(str_split(text, chr(10)), lambda x: contains(x, ' | ')) AS rows FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, {text.pack_sql('rows', '512', chr(10))} AS pieces FROM (SELECT doc_id, list_filter(str_split(text, chr(10)), lambda x: contains(x, ' | ')) AS rows FROM (SELECT doc_id, {PLANTED['rows']} AS text FROM documents WHERE text IS NOT NULL))")
 def pack_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.filter(F.split("text", "\n"), lambda x: x.contains(" | "))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", _packed(text.pack(rows, 512, "\n")).alias("pieces"))
+    return planted(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "text", "rows").select("doc_id", _packed(text.pack(rows, 512, "\n")).alias("pieces"))
 
 
 @query(f"SELECT doc_id, {text.pack_sql('w', '120', ' ')} AS pieces FROM (SELECT doc_id, list_filter(str_split_regex(text, '[{text.WHITE}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)")
@@ -443,21 +540,26 @@ def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", chunking.trim_partial_row(text.overlap_tail(F.col("text"))).alias("tail"))
 
 
+#: Short lines without a full stop, a bar or a colon become headings.
+_SHORT = "(?m)^([^#.|:\n]{3,60})$"
+_HEADED = f"(SELECT doc_id, regexp_replace(text, '{_SHORT}', '# \\1', 'g') AS text FROM documents)"
+_HEADED_LINES = _LINES.replace("FROM documents", f"FROM {_HEADED}")
 _TITLE = r"regexp_extract(line, '^#{1,6}\s+(\S.*?)\s*$', 1)"
 
 
-@query(f"WITH l AS ({_LINES}), t AS (SELECT *, nullif({_TITLE}, '') AS title FROM l), h AS (SELECT *, coalesce(last_value(title IGNORE NULLS) OVER w, 'overview') AS heading, count(title) OVER w AS part FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), b AS (SELECT doc_id, part, heading, {text.strip_sql('string_agg(line, chr(10) ORDER BY line_no)')} AS body FROM h WHERE title IS NULL GROUP BY doc_id, part, heading) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS section_no, heading, body FROM b WHERE body <> ''")
+@query(f"WITH l AS ({_HEADED_LINES}), t AS (SELECT *, nullif({_TITLE}, '') AS title FROM l), h AS (SELECT *, coalesce(last_value(title IGNORE NULLS) OVER w, 'overview') AS heading, count(title) OVER w AS part FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), b AS (SELECT doc_id, part, heading, {text.strip_sql('string_agg(line, chr(10) ORDER BY line_no)')} AS body FROM h WHERE title IS NULL GROUP BY doc_id, part, heading) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS section_no, heading, body FROM b WHERE body <> ''")
 def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.sections(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    headed = F.regexp_replace("text", _SHORT.replace("(?m)", "(?md)"), "# $1")
+    return chunking.sections(table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("text", headed), "doc_id", "text")
 
 
 _BAR_ROWS = f"list_filter([{text.strip_sql('x')} FOR x IN str_split(text, chr(10))], lambda x: starts_with(x, '|') AND ends_with(x, '|'))"
 _BARS = "length({0}) - length(replace({0}, '|', ''))"
 
 
-@query(f"SELECT id, CASE WHEN contains(text, chr(10)) AND len(rows) >= 2 AND starts_with(first, '|') AND {_BARS.format('first')} < list_sort([{_BARS.format('x')} FOR x IN rows])[len(rows) // 2 + 1] THEN {text.strip_sql('array_to_string(str_split(text, chr(10))[2:], chr(10))')} ELSE text END AS text FROM (SELECT id, text, {_BAR_ROWS} AS rows, {text.strip_sql('str_split(text, chr(10))[1]')} AS first FROM chunks WHERE text IS NOT NULL)")
+@query(f"SELECT id, CASE WHEN contains(text, chr(10)) AND len(rows) >= 2 AND starts_with(first, '|') AND {_BARS.format('first')} < list_sort([{_BARS.format('x')} FOR x IN rows])[len(rows) // 2 + 1] THEN {text.strip_sql('array_to_string(str_split(text, chr(10))[2:], chr(10))')} ELSE text END AS text FROM (SELECT id, text, {_BAR_ROWS} AS rows, {text.strip_sql('str_split(text, chr(10))[1]')} AS first FROM (SELECT id, {PLANTED['cut_row']} AS text FROM chunks) WHERE text IS NOT NULL)")
 def trim_partial_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("id", chunking.trim_partial_row(F.col("text")).alias("text"))
+    return planted(table(spark, sf_dir, "chunks"), "text", "cut_row").where("text IS NOT NULL").select("id", chunking.trim_partial_row(F.col("text")).alias("text"))
 
 
 @query()
@@ -486,8 +588,12 @@ def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {text.display_name_sql('scheme_name')} AS entity, count(*) AS chunks, row_number() OVER (ORDER BY count(*) DESC, {text.display_name_sql('scheme_name')}) AS place FROM chunks GROUP BY 1")
 def chunk_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by their number of chunks. The place is the number of entities with more chunks (a window over the different numbers, few of them) and the place among those with as many."""
     n = table(spark, sf_dir, "chunks").groupBy(text.display_name(F.col("scheme_name")).alias("entity")).agg(F.count("*").alias("chunks"))
-    return n.withColumn("place", F.row_number().over(W.orderBy(F.col("chunks").desc(), "entity")).cast("long"))
+    more = n.groupBy("chunks").agg(F.count("*").alias("entities"))
+    more = more.withColumn("before", F.coalesce(F.sum("entities").over(W.orderBy(F.col("chunks").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    alike = F.row_number().over(W.partitionBy("chunks").orderBy("entity"))
+    return n.join(more.select("chunks", "before"), "chunks").select("entity", "chunks", (F.col("before") + alike).cast("long").alias("place"))
 
 
 @query("WITH c AS (SELECT id, source_url, CAST(chunk_index AS INTEGER) AS i, list_distinct(str_split(text, chr(10))[2:]) AS lines FROM chunks WHERE text IS NOT NULL), p AS (SELECT id, lines, lag(id) OVER w AS before, lag(lines) OVER w AS earlier FROM c WINDOW w AS (PARTITION BY source_url ORDER BY i, id)) SELECT before AS first_id, id AS second_id, CAST(len(list_intersect(lines, earlier)) AS INTEGER) AS shared FROM p WHERE before IS NOT NULL")
@@ -509,6 +615,16 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("answer_id", F.coalesce("question", F.lit("")).alias("question"), answers.user_message(F.col("question"), F.col("source_url")).alias("message"))
 
 
+@query(f"WITH c AS (SELECT source_url, string_agg('[' || nth || '] ' || text, chr(10) || chr(10) ORDER BY nth) AS context FROM (SELECT source_url, text, row_number() OVER (PARTITION BY source_url ORDER BY CAST(chunk_index AS INTEGER), id) AS nth FROM chunks WHERE text IS NOT NULL AND coalesce(trim(source_url), '') <> '') WHERE nth <= 5 GROUP BY source_url) SELECT answer_id, to_json([struct_pack(role := 'system', content := {rules.literal(answers.SYSTEM)}), struct_pack(role := 'user', content := 'CONTEXT' || chr(10) || '--------' || chr(10) || context || chr(10) || '--------' || chr(10) || chr(10) || 'QUESTION: ' || question)]) AS messages FROM answers JOIN c USING (source_url) WHERE question IS NOT NULL")
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages to a model: its duties, then the first five chunks of the cited page in a fence and the question below it."""
+    c = table(spark, sf_dir, "chunks").where("text IS NOT NULL AND coalesce(trim(source_url), '') <> ''")
+    nth = F.row_number().over(W.partitionBy("source_url").orderBy(F.col("chunk_index").cast("int"), "id"))
+    blocks = c.withColumn("nth", nth).where("nth <= 5").groupBy("source_url").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("["), F.col("nth").cast("string"), F.lit("] "), "text").alias("block")))).alias("blocks"))
+    context = blocks.select("source_url", F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n").alias("context"))
+    return table(spark, sf_dir, "answers").where("question IS NOT NULL").join(context, "source_url").select("answer_id", answers.messages(F.col("question"), F.col("context")).alias("messages"))
+
+
 @query(f"SELECT answer_id, {text.strip_sql('text')} = '' OR regexp_matches(coalesce(text, ''), {rules.literal(rules.DECLINED)}) AS declined FROM answers")
 def decline_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "answers").select("answer_id", answers.declined(F.col("text")).alias("declined"))
@@ -534,15 +650,14 @@ def clamp_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "answers").where("text IS NOT NULL").select("answer_id", F.array_join(F.slice(answers.sentences(F.col("text")), 1, 3), " ").alias("text"))
 
 
-_NUMBERS = r"[0-9]+(?:[.,][0-9]+)*"
-
-
-@query(f"SELECT answer_id, array_to_string(list_sort(list_distinct([replace(x, ',', '') FOR x IN regexp_extract_all(text, '{_NUMBERS}')])), ';') AS numbers FROM answers WHERE text IS NOT NULL")
+@query(f"SELECT answer_id, array_to_string(list_sort({answers.numbers_sql('text')}), ';') AS numbers, array_to_string(list_sort({answers.numbers_sql('text', True)}), ';') AS figures FROM answers WHERE text IS NOT NULL")
 def numbers_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "answers").where("text IS NOT NULL").select("answer_id", F.array_join(F.array_sort(answers.numbers(F.col("text"))), ";").alias("numbers"))
+    """The numbers of each answer, and those with a unit."""
+    joined = lambda unit: F.array_join(F.array_sort(answers.numbers(F.col("text"), unit)), ";")
+    return table(spark, sf_dir, "answers").where("text IS NOT NULL").select("answer_id", joined(False).alias("numbers"), joined(True).alias("figures"))
 
 
-@query(f"WITH a AS (SELECT DISTINCT answer_id, {text.strip_sql('source_url')} AS url, replace(unnest(regexp_extract_all(text, '{_NUMBERS}')), ',', '') AS number FROM answers WHERE mode = 'fact'), c AS (SELECT DISTINCT source_url AS url, replace(unnest(regexp_extract_all(text, '{_NUMBERS}')), ',', '') AS number FROM chunks) SELECT answer_id, number FROM a ANTI JOIN c USING (url, number) WHERE contains(number, '.') OR length(number) >= 3")
+@query(f"WITH a AS (SELECT DISTINCT answer_id, {text.strip_sql('source_url')} AS url, {answers.numbers_sql('text', True)} AS figures, unnest({answers.numbers_sql('text')}) AS number FROM answers WHERE mode = 'fact'), c AS (SELECT DISTINCT source_url AS url, unnest({answers.numbers_sql('text')}) AS number FROM chunks) SELECT answer_id, number FROM a ANTI JOIN c USING (url, number) WHERE contains(number, '.') OR length(number) >= 3 OR list_contains(figures, number)")
 def ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of factual answers that stand in no chunk of the page they cite."""
     return answers.ungrounded(table(spark, sf_dir, "answers").where("mode = 'fact'"), table(spark, sf_dir, "chunks"))
@@ -577,9 +692,9 @@ def citation_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(docs.owners(table(spark, sf_dir, "sources")), "url", "left_semi").select("answer_id")
 
 
-@query(f"SELECT answer_id, {text.strip_sql('source_url')} AS url FROM answers a ANTI JOIN {_PAGES} p ON p.url = {text.strip_sql('a.source_url')} WHERE mode = 'fact'")
+@query(f"SELECT answer_id, {text.strip_sql('source_url')} AS url FROM {_CITED} a ANTI JOIN {_PAGES} p ON p.url = {text.strip_sql('a.source_url')} WHERE mode = 'fact'")
 def citation_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "answers").where("mode = 'fact'").select("answer_id", text.strip("source_url").alias("url"))
+    a = planted(table(spark, sf_dir, "answers"), "source_url", "citation").where("mode = 'fact'").select("answer_id", text.strip("source_url").alias("url"))
     return a.join(docs.owners(table(spark, sf_dir, "sources")), "url", "left_anti").select("answer_id", "url")
 
 
@@ -604,9 +719,12 @@ def allowlist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(c).where("url <> ''").groupBy("url").agg(F.min("origin").alias("origin"))
 
 
-@query(f"SELECT {text.strip_sql('source_url')} AS url FROM chunks EXCEPT SELECT {text.strip_sql('url')} FROM sources")
+@query(f"SELECT url, 'only chunks' AS side FROM (SELECT {text.strip_sql('source_url')} AS url FROM chunks EXCEPT SELECT {text.strip_sql('url')} FROM sources) UNION ALL SELECT url, 'only sources' FROM (SELECT {text.strip_sql('url')} AS url FROM sources EXCEPT SELECT {text.strip_sql('source_url')} FROM chunks)")
 def corpus_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").select(text.strip("source_url").alias("url")).exceptAll(table(spark, sf_dir, "sources").select(text.strip("url").alias("url"))).distinct().join(table(spark, sf_dir, "sources").select(text.strip("url").alias("url")), "url", "left_anti")
+    """Addresses of the chunks that the source list does not have, and the other way round."""
+    c = table(spark, sf_dir, "chunks").select(text.strip("source_url").alias("url"))
+    u = table(spark, sf_dir, "sources").select(text.strip("url").alias("url"))
+    return c.subtract(u).withColumn("side", F.lit("only chunks")).unionByName(u.subtract(c).withColumn("side", F.lit("only sources")))
 
 
 @query("SELECT (SELECT count(*) FROM chunks WHERE embedding IS NOT NULL) AS records, (SELECT count(DISTINCT source_url) FROM chunks) AS pages, (SELECT count(*) FROM chunks WHERE embedding IS NOT NULL) > 0 AS ready")

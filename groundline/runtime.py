@@ -15,21 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the session has cores.
 
-    Large inputs already have more splits than cores and pass through untouched; only an input of few
-    files (one small file is one split) is redistributed, so that Python stages use every core.
+    Large inputs already have more files than cores and pass through untouched; only an input of few
+    files is redistributed, so that Python stages use every core. The files are known from the plan, so nothing runs for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by the cluster in ``spark.checkpoint.dir``. Only in local mode, where it may be missing, a temporary folder stands in."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="groundline-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which all executors share. Only where
-    that setting is missing (tests in local mode) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir`` (see ``shared_folder``).
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundline-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

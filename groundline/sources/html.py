@@ -1,4 +1,4 @@
-"""Text of HTML pages: what frames the content left out, table rows on one line, headings marked."""
+"""Text of HTML pages: the title as first heading, what frames the content left out, table rows on one line, headings marked."""
 
 from __future__ import annotations
 
@@ -13,76 +13,102 @@ from groundline.functions.text import clean_lines
 from groundline.runtime import spread
 
 #: Elements, roles and parts of class or id words that frame the content.
-FRAME_TAGS = ("script", "style", "noscript", "svg", "canvas", "iframe", "nav", "footer", "aside", "form", "button", "input", "select", "textarea", "link", "meta", "template", "title")
-FRAME_ROLES = ("navigation", "banner", "contentinfo", "search", "complementary", "dialog")
+FRAME_TAGS = ("script", "style", "noscript", "svg", "canvas", "iframe", "nav", "footer", "aside", "form", "button", "input", "select", "textarea", "link", "meta", "template")
+FRAME_ROLES = ("navigation", "banner", "contentinfo", "search", "menu", "dialog")
 FRAME_WORDS = ("nav", "navbar", "menu", "footer", "sidebar", "breadcrumb", "cookie", "consent", "social", "share", "newsletter", "subscribe", "related", "recommend", "promo", "banner", "advert", "popup", "modal", "skip-link", "skiplink", "copyright")
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+#: Elements within a line; all others begin and end one.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that end where another of their kind begins.
+IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+
+
 class Reader(HTMLParser):
-    """Collects text nodes; inside a frame nothing is collected, inside a row its cells are."""
+    """Collects lines of text; inside a frame nothing is collected, a row of a table is one line, and a row in a cell is part of the cell."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = []
+        self.title: list[str] = []
+        self.line: list[str] = []
         self.open: list[tuple[str, bool]] = []  # tag, frames the content
-        self.row: list[list[str]] | None = None
-        self.heading: list[str] | None = None
+        self.rows: list[list[list[str]]] = []  # open rows, their cells, the cells' texts
 
     def frames(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         said = {k: (v or "").lower() for k, v in attrs}
         names = f"{said.get('class', '')} {said.get('id', '')}".split()
         return tag in FRAME_TAGS or said.get("role") in FRAME_ROLES or any(w in n for n in names for w in FRAME_WORDS)
 
+    def hidden(self) -> bool:
+        return any(frame for _, frame in self.open)
+
+    def end_line(self, mark: str = "") -> None:
+        text = " ".join("".join(self.line).split())
+        self.line = []
+        if text and self.rows and self.rows[-1]:
+            self.rows[-1][-1].append(text)
+        elif text:
+            self.lines.append(mark + text)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in IMPLIED and self.open and self.open[-1][0] in IMPLIED[tag]:
+            self.handle_endtag(self.open[-1][0])
+        if not self.hidden() and tag not in INLINE:
+            self.end_line()
         if tag in VOID:
             return
         self.open.append((tag, self.frames(tag, attrs)))
         if self.hidden():
             return
         if tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.row.append([])
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.heading = []
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows:
+            self.rows[-1].append([])
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in [t for t, _ in self.open]:
             return
-        hidden = self.hidden()
-        while self.open.pop()[0] != tag:
-            pass
-        if hidden:
-            return
-        if tag == "tr" and self.row is not None:
-            self.lines.append(" | ".join(c for c in (" ".join(x) for x in self.row) if c))
-            self.row = None
-        elif self.heading is not None and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.lines.append("#" * int(tag[1]) + " " + " ".join(self.heading))
-            self.heading = None
+        while True:
+            hidden = self.hidden()
+            last, _ = self.open.pop()
+            if not hidden:
+                self.ended(last)
+            if last == tag:
+                return
+
+    def ended(self, tag: str) -> None:
+        if tag == "title":
+            self.title += self.line
+            self.line = []
+        elif tag in HEADINGS and not self.rows:
+            self.end_line("#" * int(tag[1]) + " ")
+        elif tag not in INLINE:
+            self.end_line()
+        if tag == "tr" and self.rows:
+            self.line = [" | ".join(c for c in (" ".join(x) for x in self.rows.pop()) if c)]
+            self.end_line()
 
     def handle_data(self, data: str) -> None:
-        text = " ".join(data.split())
-        if not text or self.hidden():
-            return
-        if self.row:
-            self.row[-1].append(text)
-        elif self.heading is not None:
-            self.heading.append(text)
-        else:
-            self.lines.append(text)
+        if not self.hidden():
+            self.line.append(data)
 
-    def hidden(self) -> bool:
-        return any(frame for _, frame in self.open)
+    def text(self) -> str:
+        self.close()
+        while self.open:
+            self.handle_endtag(self.open[-1][0])
+        self.end_line()
+        title = " ".join("".join(self.title).split())
+        return "\n".join([f"# {title}"] * bool(title) + self.lines)
 
 
 def html_text(html: str | None) -> str:
     reader = Reader()
     reader.feed(html or "")
-    reader.close()
-    return "\n".join(x for x in reader.lines if x)
+    return reader.text()
 
 
 def with_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

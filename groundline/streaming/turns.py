@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: How late a row may come: the rows of the stored turns come in no order, so the bound covers the whole table.
-LATENESS = "3650 days"
+from groundline.runtime import shared_folder
+
+#: How late a row may come; what is known of older rows is dropped from the state.
+LATENESS = "45 days"
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +24,13 @@ def counted(turns: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return once.groupBy(F.unix_timestamp(F.date_trunc("day", "sent_at")).alias("day"), "role").agg(F.count("*").alias("turns"))
 
 
-def daily_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over what is there and give the final counts."""
-    name = "turns_" + uuid.uuid4().hex
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundline-")
-    run = counted(stream(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+def daily_turns(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
+    """Run the stream over what is there and give the final counts, a table in the shared folder that each trigger writes anew."""
+    folder = f"{shared_folder(spark)}/turns_{uuid.uuid4().hex}"
+
+    def write(counts: DataFrame, _: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    run = counted(stream(spark, path), lateness).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/counts")

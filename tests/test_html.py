@@ -10,8 +10,16 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav>Home</
 def test_content_is_kept_and_frames_are_not(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>open <b>never closed"), (4, "")], "id long, html string")
     got = {r.id: r.text for r in html.with_text(df).collect()}
-    assert got[1] == "# Alpha Fund\nRatio & load\nare low\nnext\nName | 1.03%\nLoad | nil\n### Exit\nEnds"
-    assert got[2] == "" and got[3] == "open\nnever closed" and got[4] == ""
+    assert got[1] == "# T\n# Alpha Fund\nRatio & load\nare low\nnext\nName | 1.03%\nLoad | nil\n### Exit\nEnds"
+    assert got[2] == "" and got[3] == "open never closed" and got[4] == ""
+
+
+def test_nested_tables_inline_elements_and_open_frames():
+    nested = "<table><tr><td>a <i>b</i></td><td><table><tr><td>c</td><td>d</td></tr></table></td></tr><tr><td>e<td>f</table>after"
+    assert html.html_text(nested) == "a b | c | d\ne | f\nafter"
+    assert html.html_text("<div><p class='share'>x<p>kept <a>one</a>, <b>two</b></div>") == "kept one, two"
+    assert html.html_text("<div><nav>menu<ul><li>x</div><p>body") == "body"
+    assert html.html_text("<div role='menu'>x</div><div role='complementary'>y</div>") == "y"
 
 
 def test_headings(spark):
