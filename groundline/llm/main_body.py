@@ -18,6 +18,7 @@ probability of that label (one half without any). Very long pages are labelled w
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,10 +56,10 @@ ENDED = 6
 KIND_SHAPES, BARS = (0, 1, 2), r"^[^|]*\|[^|]*\|"
 #: White space in the sense of Unicode, which the shapes see as blanks.
 WHITE = r"[\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-DIGITS = regex.compile(r"\p{Nd}+")
+DIGITS = re.compile(r"\d+")
 
 
-UNCASED, RUNS = regex.compile(r"\p{Lo}"), regex.compile(r"W( W)+")
+UNCASED, RUNS = regex.compile(r"\p{Lo}"), re.compile(r"W( W)+")
 
 
 class Model(NamedTuple):
