@@ -197,6 +197,28 @@ def test_pipeline_searches_whole_chunks(spark):
     assert [got[i].reason for i in (2, 3, 4)] == ["weak_retrieval", "empty", "weak_retrieval"]
     made = {r.conv_id: r for r in pipeline.answered(turns, chunks, sources, lambda q, t: F.lit("The load is 7.77%.")).collect()}
     assert made[0].reason == "ungrounded" and made[0].stopped_at == "generate" and made[0].text == ""
+    blocked = spark.createDataFrame([(9, 0, "user", "My PAN is ABCDE1234F, Alpha Fund exit load")], turns.schema)
+    stages = {r.stopped_at for r in [*got.values(), *made.values(), *pipeline.answered(blocked, chunks, sources).collect()]}
+    assert stages == {"answered", "trim", "guard", "assemble", "generate"}
+
+
+def test_missing_index(spark, tmp_path):
+    with pytest.raises(index.MissingIndex):
+        index.opened(spark, str(tmp_path / "none"))
+
+
+def test_aliases_of_any_length(spark):
+    name = "One Two Three Four Five Six Seven Eight Fund"
+    aliases = memory.entities(spark.createDataFrame([(name,), ("Alpha",)], "scheme_name string"))
+    texts = spark.createDataFrame([(1, f"ask of {name.upper()} now"), (2, "alpha and beta"), (3, None)], "k int, text string")
+    assert {(r.k, r.entity) for r in memory.named_entities(texts, aliases, ["k"]).collect()} == {(1, name), (2, "Alpha")}
+    assert memory.named_entities(texts, aliases.limit(0), ["k"]).count() == 0
+
+
+def test_figures_need_a_context(spark):
+    a = spark.createDataFrame([(1, "u", "It is 5 % of A12 and 7 units, 1,030.5 in all, 250 more."), (2, "u", "It is 9%.")], "answer_id long, source_url string, text string")
+    c = spark.createDataFrame([("u", "We say 9 and 1030.5 here.")], "source_url string, text string")
+    assert {(r.answer_id, r.number) for r in answers.ungrounded(a, c).collect()} == {(1, "5"), (1, "250")}
 
 
 def test_append_of_grown_pages(spark):
