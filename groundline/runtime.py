@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffles that nothing refers to any more: it does so when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffles that nothing refers to any more: it does so when the driver collects its garbage, which may be long after.
+
+    Several rounds, as what the first ones let go of still holds the shuffles.
+    """
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
