@@ -65,7 +65,8 @@ def meet(k: int):
 def searched(queries: DataFrame, vectors: DataFrame, k: int, filtered: bool) -> DataFrame:
     """Hits of queries (id, key, fell_back, vector); without ``filtered`` no query has an entity for its key."""
     k = k or TOP_K
-    v = vectors.where("vector IS NOT NULL").select("id", F.coalesce("entity", F.lit("")).alias("entity"), "vector")
+    # named anew, so that queries made from the vectors are told apart from them
+    v = vectors.where("vector IS NOT NULL").select(F.col("id").alias("id"), F.coalesce("entity", F.lit("")).alias("entity"), F.col("vector").alias("vector"))
     # a vector stands under its entity, and under no entity for the queries that search everything
     keys = F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("entity")), F.struct(F.lit(False).alias("all"), F.col("entity").alias("entity")))
     v = v.withColumn("key", F.explode(keys) if filtered else keys[0])
@@ -80,7 +81,7 @@ def keyed(queries: DataFrame, everything, fell_back=None) -> DataFrame:
     """Queries with their key: everything (a column), or their entity."""
     entity = F.coalesce("entity", F.lit(""))
     key = F.struct(everything.alias("all"), F.when(everything, "").otherwise(entity).alias("entity"))
-    return queries.select("id", key.alias("key"), (F.lit(False) if fell_back is None else fell_back).alias("fell_back"), "vector")
+    return queries.select(F.col("id").alias("id"), key.alias("key"), (F.lit(False) if fell_back is None else fell_back).alias("fell_back"), F.col("vector").alias("vector"))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, mode: str = "all") -> DataFrame:

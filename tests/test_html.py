@@ -2,15 +2,15 @@ from pyspark.sql import functions as F
 
 from groundline.sources import html
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav>Home</nav><div class="cookie-bar">Accept</div>
-<h1>Alpha <b>Fund</b></h1><p>Ratio &amp; load<br>are low<p>next <table><tr><th>Name</th><td>1.03%</td></tr><tr><td>Load</td><td> </td><td>nil</td></tr></table>
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav>Home</nav><p>Next</p><div class="cookie-bar">Accept</div>
+<h1>Alpha <b>Fund</b></h1><p>Ratio &amp; load<br>are low<p>nearby <table><tr><th>Name</th><td>1.03%</td></tr><tr><td>Load</td><td> </td><td>nil</td></tr></table>
 <div role="banner">x</div><h3>Exit</h3><p id="main">Ends<footer>Terms</footer></body></html>"""
 
 
 def test_content_is_kept_and_frames_are_not(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>open <b>never closed"), (4, "")], "id long, html string")
     got = {r.id: r.text for r in html.with_text(df).collect()}
-    assert got[1] == "# T\n# Alpha Fund\nRatio & load\nare low\nnext\nName | 1.03%\nLoad | nil\n### Exit\nEnds"
+    assert got[1] == "# T\n# Alpha Fund\nRatio & load\nare low\nnearby\nName | 1.03%\nLoad | nil\n### Exit\nEnds"
     assert got[2] == "" and got[3] == "open never closed" and got[4] == ""
 
 
